@@ -40,6 +40,10 @@ CONVENTIONS = """
 *.min.mjs linguist-generated
 *.bundle.js linguist-generated
 *.chunk.js linguist-generated
+**/generated/** linguist-generated
+*.gen.ts linguist-generated
+*.gen.tsx linguist-generated
+*.g.ts linguist-generated
 *.generated.ts linguist-generated
 *.generated.js linguist-generated
 *_pb.js linguist-generated
@@ -174,14 +178,14 @@ def visible(head: Column, lines: Column, size: Column) -> Column:
     """Kind of evidence in the file itself, or null."""
     digits = F.length(F.regexp_replace(head, "[^0-9]", ""))
     letters = F.length(F.regexp_replace(head, r"[^\p{L}]", ""))
-    longest = F.array_max(F.transform(F.split(head, "\n"), lambda line: F.length(line)))
+    first = F.length(F.substring_index(head, "\n", 1))
     per_line = F.when(lines > 0, size / lines)
     return (
         F.when(head.rlike(GENERATED_COMMENT), "generated")
         .when(head.rlike(VENDORED_COMMENT), "vendored")
         .when(head.rlike(COMPILED_HEAD), "built")
         .when(head.rlike(ENCODED_STRING) | ((F.length(head) >= 100) & (digits > letters)), "data")
-        .when((per_line >= WIDE) | (longest >= 2 * WIDE), "minified")
+        .when((per_line >= WIDE) | (first >= 2 * WIDE), "minified")
         .when(lines.isNull() & head.isNull() & (size >= HUGE), "data")
     )
 

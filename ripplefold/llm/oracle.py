@@ -50,7 +50,7 @@ SELECT x AS unit_a, y AS unit_b FROM p JOIN n a ON a.unit_no = x JOIN n b ON b.u
 """
 
 _WORDS = """
-w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS words FROM documents),
+w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS words FROM documents),
 starts AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(words) - 6)) AS r(i)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM starts) WHERE k > 1),
 hit AS (SELECT DISTINCT doc_id, i + j AS at FROM again, unnest(range(0, 8)) AS r(j)),

@@ -35,6 +35,13 @@ _WORDS = re.compile(r"[^\W_]+").findall
 _SENTENCES = re.compile(r"[.!?。！？]+\s*|\n+").split
 
 
+def words_of(text: str | None) -> list[str]:
+    """The longest runs of letters and digits, each in lower case."""
+    if not text:
+        return []
+    return _WORDS(text.lower()) if text.isascii() else [word.lower() for word in _WORDS(text)]
+
+
 def _again(places: np.ndarray) -> np.ndarray:
     """True where a value occurred at an earlier place."""
     later = np.ones(len(places), dtype=bool)
@@ -87,7 +94,7 @@ def _measurer(width: int):
             counts, covered = array("q"), array("q")
             shares = [array("d") for _ in range(4)]
             for text in batch.column(1).to_pylist():
-                words = _WORDS(text.lower()) if text else []
+                words = words_of(text)
                 hit, fours, variety = repeated_words(words, width)
                 counts.append(len(words))
                 covered.append(hit)
