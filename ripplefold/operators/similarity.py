@@ -53,7 +53,7 @@ def candidate_pairs(units: DataFrame, key: str = "unit", tokens: str = "tokens",
     grams = units.select(F.col(key).alias("unit"), F.explode(F.array_distinct(shingles(F.col(tokens)))).alias("gram")).select("unit", F.xxhash64("gram").alias("g"))
     if most:
         rare = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("g")
-        grams = grams.join(rare, "g", "left_semi")
+        grams = grams.join(rare, "g", "left_semi").select("unit", "g")
     return grams.toDF("a", "g").join(grams.toDF("b", "g"), "g").where("a < b").select("a", "b").distinct()
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from ripplefold.plans import graphs, inputs_and_units, records
+
+FAMILIES = [graphs, records, inputs_and_units]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
