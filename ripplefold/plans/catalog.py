@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplefold.plans import graphs, inputs_and_units, records
+from ripplefold.plans import graphs, inputs_and_units, records, stores
 
-FAMILIES = [graphs, records, inputs_and_units]
+FAMILIES = [graphs, records, inputs_and_units, stores]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
