@@ -31,8 +31,9 @@ def superseded(jobs: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Jobs with ``next_delivery`` and state: a pending job of which the same ``by`` has a later one is superseded."""
     later = F.lead("delivery_id").over(W.partitionBy(*by).orderBy(*order))
     marked = jobs.withColumn("next_delivery", later)
-    gone = (F.col("state") == "pending") & F.col("next_delivery").isNotNull()
-    return marked.withColumn("state", F.when(gone, "superseded").otherwise(F.col("state"))).withColumn("superseded_by", F.when(gone, F.col("next_delivery")).otherwise(F.col("superseded_by")))
+    marked = marked.withColumn("_gone", (F.col("state") == "pending") & F.col("next_delivery").isNotNull())
+    by_later = F.when(F.col("_gone"), F.col("next_delivery")).otherwise(F.col("superseded_by"))
+    return marked.withColumn("superseded_by", by_later).withColumn("state", F.when(F.col("_gone"), "superseded").otherwise(F.col("state"))).drop("_gone")
 
 
 def claimed(jobs: DataFrame, now) -> DataFrame:
