@@ -78,7 +78,7 @@ HUGE = 50_000
 #: the few per cent that ordinary files show.
 LEAST_REPOS = 3
 MAJORITY = 0.5
-FAR_ABOVE = 0.13
+FAR_ABOVE = 0.15
 
 
 def tidy(path: Column) -> Column:
@@ -191,18 +191,21 @@ def visible(head: Column, lines: Column, size: Column) -> Column:
 
 
 def path_patterns(path: Column) -> Column:
-    """Abstract forms of a path: the end of its name, and each of its last directories with what lies below."""
+    """Abstract forms of a path: the end of its name where that says more than the file type, and each of its
+    last directories with what lies below."""
     low = F.regexp_replace(F.regexp_replace(F.lower(path), r"[0-9]+(\.[0-9]+)+", "#"), r"(?<=[.-])[0-9a-f]{8,}(?=\.)", "#")
     parts = F.split(low, "/")
     count = F.size(parts)
     name = F.element_at(parts, -1)
-    end = F.concat(F.lit("*"), F.regexp_extract(name, r"([._-][^._-]+)?\.[^.]+$", 0))
-    shapes = F.transform(parts, lambda p: F.regexp_replace(p, r"[a-z][a-z0-9]*(?=.*\.[^.]+$)|^[a-z0-9]+$", "*"))
+    told = F.regexp_extract(name, r"[._-][^._-]+\.[^.]+$", 0)
+    end = F.when(told != "", F.array(F.concat(F.lit("*"), told))).otherwise(F.array().cast("array<string>"))
+    word = r"[a-z][a-z0-9]*"
+    shapes = F.transform(parts, lambda p, i: F.when(i < count - 1, F.regexp_replace(p, word, "*")).otherwise(F.regexp_replace(p, word + r"(?=.*\.[^.]+$)", "*")))
     tails = F.transform(
         F.sequence(F.lit(1), F.least(F.lit(3), count - 1)),
         lambda k: F.concat(F.element_at(parts, (count - k).cast("int")), F.lit("/"), F.array_join(F.slice(shapes, (count - k + 1).cast("int"), k), "/")),
     )
-    return F.when(count > 1, F.array_union(F.array(end), tails)).otherwise(F.array(end))
+    return F.when(count > 1, F.array_union(end, tails)).otherwise(end)
 
 
 def mined(judged: DataFrame) -> DataFrame:
