@@ -30,6 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN_FOLDER[0]}"
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this application's tables."""
+    return f"{shared_folder(spark)}/ripplefold-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete every cut table of this application; results that still read one must be written before."""
+    _delete(spark, application_folder(spark))
+
+
 class CutTable:
     """A written table: ``df`` reads it, ``metrics`` holds what was observed while writing, ``drop`` deletes it."""
 
@@ -37,16 +52,13 @@ class CutTable:
         self.df, self.path, self.metrics = df, path, metrics
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(self.df.sparkSession, self.path)
 
 
 def cut(df: DataFrame, *observed: Column) -> CutTable:
     """Write ``df`` to the shared folder and return the table; ``observed`` aggregates are taken on the way."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     seen = Observation() if observed else None
     (df.observe(seen, *observed) if seen else df).write.parquet(path)

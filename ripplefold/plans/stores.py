@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplefold.durable import cut, shared_folder
+from ripplefold.durable import cut, application_folder
 from ripplefold.functions import sequential, text
 from ripplefold.operators import blast, evidence, graph, jobs, vectors
 from ripplefold.plans import graphs, records
@@ -27,7 +27,7 @@ def h7_store_search(spark, d):
 
 def b2_snapshot(spark, d):
     """Fingerprints written as a snapshot, last version per symbol and embedder, and read back."""
-    root = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    root = f"{application_folder(spark)}/snapshot-{uuid.uuid4().hex}"
     rows = unique(spark, d, "function_fingerprints").where("embedding is not null and updated_at is not null and symbol is not null")
     sinks.replace_snapshot(rows, root)
     return spark.read.parquet(root).select("fp_id", "repo", "file", "embedder")
@@ -35,7 +35,7 @@ def b2_snapshot(spark, d):
 
 def b1_saved_runs(spark, d):
     """Runs and their findings saved as one record and read back by run."""
-    root = f"{shared_folder(spark)}/record-{uuid.uuid4().hex}"
+    root = f"{application_folder(spark)}/record-{uuid.uuid4().hex}"
     runs = unique(spark, d, "runs", "id", "provider", "findings_count")
     found = unique(spark, d, "findings", "id", "run_id", "grounded")
     sinks.save_run({"runs": runs, "findings": found}, root, "all")
@@ -45,7 +45,7 @@ def b1_saved_runs(spark, d):
 
 def k7_drained_queue(spark, d):
     """The final state of each pull request's deliveries after the stream of them has been drained."""
-    root = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    root = f"{application_folder(spark)}/queue-{uuid.uuid4().hex}"
     jobs_once = unique(spark, d, "review_jobs", "delivery_id", "owner", "repo", "pull_number", "created_at").where("delivery_id is not null")
     cut_jobs = cut(jobs_once.withColumn("created_at", F.col("created_at").cast("timestamp")))
     source = spark.readStream.schema(cut_jobs.df.schema).parquet(cut_jobs.path)
