@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
+from ripplefold.functions.text import is_project_node
 
 #: Default bounds of the walk.
 MAX_HOPS = 3
@@ -58,3 +59,16 @@ def module_dependants(edges: DataFrame, module, max_hops: int = MAX_HOPS, cap: i
 def with_fan_in(sites: DataFrame, metrics: DataFrame) -> DataFrame:
     """Sites with the fan-in of their module, 0 where unknown."""
     return sites.join(metrics.select(F.col("id").alias("symbol_id"), F.col("fan_in").cast("int").alias("module_fan_in")), "symbol_id", "left").na.fill(0, ["module_fan_in"])
+
+
+def with_names(sites: DataFrame, names: DataFrame, column: str = "via") -> DataFrame:
+    """Sites with ``<column>_name`` from ``names(id, name)``; an unknown or unnamed id stands for itself."""
+    known = names.groupBy(F.col("id").alias("_id")).agg(F.min("name").alias("_name"))
+    return sites.join(known, F.col(column) == F.col("_id"), "left").withColumn(f"{column}_name", F.coalesce("_name", column)).drop("_id", "_name")
+
+
+def usable_references(references: DataFrame) -> DataFrame:
+    """References of ``(symbol_id, path, line, declared_path, declared_line, in_import)`` that are uses: not the
+    declaration itself, not under an import or export, and inside the project."""
+    own = (F.col("path") == F.col("declared_path")) & (F.col("line") == F.col("declared_line"))
+    return references.where(~F.coalesce(own, F.lit(False)) & ~F.coalesce("in_import", F.lit(False)) & is_project_node(F.col("path")))

@@ -177,6 +177,12 @@ def d15_drawn_edges(spark, d):
     return sinks.drawn_edges(sites, sinks.hop_columns(sites))
 
 
+def d10_via_names(spark, d):
+    """Sites with the part name of the vertex they were reached through."""
+    names = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"))
+    return blast.with_names(_sites(spark, d), names).select("symbol_id", "via", "via_name")
+
+
 def c10_evidence(spark, d):
     """Violations, cycles and instability as one list of evidence with weights, numbered together per change brand."""
     e = cut(edges(spark, d)).df
@@ -200,7 +206,7 @@ broken AS (
   UNION ALL SELECT 'deny Brand#3?/**/*1 -> Brand#4?/**', * FROM edges WHERE regexp_matches(src, '^Brand#3[^/]/(?:.*/)?[^/]*1$') AND regexp_matches(dst, '^Brand#4[^/]/.*$')),
 violations AS (SELECT rule, src AS from_module, dst AS to_module, specifier, first_seen >= TIMESTAMP '2000-01-01' AS introduced FROM broken)"""
 
-QUERIES = {f.__name__: f for f in (j6_impact_blast_radius, j6_stats, e1_coupling, e2_first_edges, d5_violations, d6_introduced_edges, d8_instability_deltas, d15_drawn_edges, d16_dependants, e17_sites_by_origin, j3_cycles, j4_base_graph, j5_introduced_cycles, j7_module_walk, b6_shown_sites, b10_hop_columns, c10_evidence)}
+QUERIES = {f.__name__: f for f in (j6_impact_blast_radius, j6_stats, e1_coupling, e2_first_edges, d5_violations, d6_introduced_edges, d8_instability_deltas, d15_drawn_edges, d16_dependants, e17_sites_by_origin, j3_cycles, j4_base_graph, j5_introduced_cycles, j7_module_walk, b6_shown_sites, b10_hop_columns, c10_evidence, d10_via_names)}
 
 SQL = {
     "e1_coupling": f"WITH {SQL_EDGES}, {_coupling_sql('coupling', 'edges')} SELECT * FROM coupling",
@@ -225,6 +231,7 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY hops ORDER BY module_fan_in DESC, symbol_id) AS r, count(*) OVER (PARTITION BY hops) AS n FROM sites) WHERE r <= 10""",
     "d15_drawn_edges": _WITH_SITES + """, drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hops ORDER BY module_fan_in DESC, symbol_id) AS r FROM sites) WHERE r <= 10)
         SELECT via AS from_id, symbol_id AS to_id FROM drawn WHERE via IN (SELECT symbol_id FROM drawn)""",
+    "d10_via_names": _WITH_SITES + " SELECT symbol_id, via, coalesce(p_name, via) AS via_name FROM sites LEFT JOIN (SELECT p_brand || '/' || p_type || '/' || p_partkey AS id, min(p_name) AS p_name FROM part GROUP BY 1) n ON n.id = via",
     "j7_module_walk": f"""WITH {SQL_EDGES}, l0 AS (SELECT dst AS id, dst AS origin, [CAST(1 AS BIGINT)] AS path FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),"""
     + ",".join(_LEVEL.format(k=k, j=k - 1, seen=" UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(k))) for k in (1, 2, 3))
     + " SELECT id AS symbol_id, CAST(hops AS INTEGER) AS hops, via FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) ORDER BY hops, path LIMIT 25",

@@ -109,3 +109,9 @@ def test_base_graph_takes_back_a_change(spark):
     changed = spark.createDataFrame([("new.ts", None, "added"), ("to.ts", "from.ts", "renamed")], "path string, previous_path string, status string")
     base = graph.base_edges(head, changed, spark.createDataFrame([("from.ts", "x", "./x")], "src string, dst string, specifier string"))
     assert {r.src for r in base.collect()} == {"kept.ts", "from.ts"}
+
+
+def test_references_that_are_uses(spark):
+    rows = [("s", "a.ts", 1, "a.ts", 1, False), ("s", "b.ts", 1, "a.ts", 1, True), ("s", "b.ts", 9, "a.ts", 1, False), ("s", "node_modules/x.ts", 2, "a.ts", 1, None), ("s", "c.ts", 1, None, None, None)]
+    got = blast.usable_references(spark.createDataFrame(rows, "symbol_id string, path string, line int, declared_path string, declared_line int, in_import boolean"))
+    assert {(r.path, r.line) for r in got.collect()} == {("b.ts", 9), ("c.ts", 1)}
