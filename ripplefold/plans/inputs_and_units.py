@@ -189,7 +189,7 @@ def h4_norms(spark, d):
 
 def _rated(spark, d):
     units = cut(_long_units(spark, d)).df
-    return cut(similarity.cosines(similarity.fingerprints(units), similarity.candidate_pairs(units))).df
+    return cut(similarity.rated(units)).df
 
 
 def h6_similar_units(spark, d):

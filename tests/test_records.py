@@ -199,6 +199,19 @@ def test_fingerprints_and_hits(spark):
     assert similarity.fingerprints(units.where("unit > 4")).count() == 0
 
 
+def test_large_families_and_copies_meet(spark):
+    body = [f"t{i}" for i in range(80)]
+    rows = {i: body[: i % 80] + [f"e{i}"] + body[i % 80 + 1 :] for i in range(100)} | {1000 + i: [f"c{j}" for j in range(50)] for i in range(60)}
+    rows |= {2000 + i: body[:40] + [f"o{i}_{j}" for j in range(40)] for i in range(10)}
+    units = spark.createDataFrame(list(rows.items()), "unit int, tokens array<string>")
+    every = spark.range(2100).select(F.col("id").cast("int").alias("unit")).join(units.select("unit"), "unit", "left_semi")
+    pairs = every.toDF("a").crossJoin(every.toDF("b")).where("a < b")
+    truth = {(r.a, r.b) for r in similarity.cosines(similarity.fingerprints(units), pairs).where(F.col("similarity") >= similarity.THRESHOLD).collect()}
+    assert len(truth) > 5_000
+    got = [(r.a, r.b) for r in similarity.rated(units, crowd=20).collect()]
+    assert len(got) == len(set(got)) and set(got) == truth
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "r", "f", "s", 1, "e", "2025-01-01"), (2, "r", "f", "s", 1, "e", "2025-01-02"), (3, "q", "f", "s", 1, "e", None)], "fp_id int, repo string, file string, symbol string, start_line int, embedder string, updated_at string")
     root = str(tmp_path / "snap")
