@@ -8,7 +8,7 @@ off. Four registers make a 64-bit band; sequences that share a band are candidat
 drops those far below the threshold, and the runs of the others are compared whole.
 
 Equal sequences are one class with one representative (their smallest id), so copies meet once, not in pairs.
-A band shared by a crowd of different sequences is split by the neighbouring bands instead of being paired.
+A band shared by a crowd of different sequences is paired block against block, so no pair of it is lost.
 
 Sequences shorter than ``least_tokens`` or null take no part. A null token counts as a token of its own.
 Repeated rows count once.
@@ -25,16 +25,15 @@ from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
 from ripplefold.llm.hot import hot_keys
+from ripplefold.operators.blocks import in_blocks, met
 
 #: Hash functions, each with 16 buckets; four registers a band. At a similarity of 0.5 a pair shares one of
 #: the 80 bands with probability 0.994, at 0.6 with 0.99999.
 TABLES = 20
 BUCKETS = 16
 ROWS = 4
-#: Members above which a band is split by its neighbours.
+#: Members above which a band is paired in blocks of about that size.
 CROWD = 2000
-#: Bands that stand in for a crowded one.
-STAND_INS = 12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -171,9 +170,8 @@ def similar_classes(sequences: DataFrame, least: float, width: int = 5, tables:
     pairs = _meet(banded)
     if not hot.isEmpty():
         hot = cut(hot).df
-        placed = sketched.select("id", "bands", F.posexplode("bands").alias("at", "key")).join(hot, "key", "left_semi")
-        stand_ins = F.array(*(F.xxhash64("key", F.element_at("bands", F.pmod(F.col("at") + step, F.size("bands")).cast("int") + 1)) for step in range(1, STAND_INS + 1)))
-        pairs = _meet(banded.join(hot, "key", "left_anti")).unionByName(_meet(placed.select("id", F.explode(stand_ins).alias("key"))))
+        dealt = in_blocks(banded.join(hot, "key"), F.col("key"), "id", F.col("blocks"))
+        pairs = _meet(banded.join(hot, "key", "left_anti")).unionByName(met(dealt, "id"))
     pairs = pairs.distinct()
     deviation = (least * (1 - least) / (tables * BUCKETS)) ** 0.5
     regs = sketched.select("id", "regs")

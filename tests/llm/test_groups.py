@@ -5,7 +5,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from ripplefold.durable import cut
 from ripplefold.llm import components, near_duplicates, neighbours, quantiles
 
 MATCH = "unit_no long, match_no long, similarity double, v string"
@@ -109,6 +111,16 @@ def test_crowded_bands_are_split_not_dropped(spark, monkeypatch):
     assert got >= 0.9 * 300 * 299 / 2
 
 
+def test_crowded_bands_lose_no_pair(spark):
+    rng = random.Random(3)
+    body = [f"t{i}" for i in range(120)]
+    units = {i: body[:86] + [f"u{i}_{j}" for j in range(34 - rng.randrange(8))] for i in range(300)}
+    sequences = frame(spark, units).select(F.col("unit_no").alias("class_id"), "tokens").distinct()
+    plain, crowded = ({(r.a, r.b) for r in near_duplicates.similar_classes(sequences, 0.5, crowd=crowd).collect()} for crowd in (10**6, 1))
+    truth = brute_pairs(units, 0.5)
+    assert crowded == plain and len(truth) > 20_000 and len(crowded) >= 0.98 * len(truth)
+
+
 def test_copies_are_one_class_and_nothing_is_empty(spark):
     units = {i: ["a", "b", "c", "d"] * 15 for i in range(1, 51)}
     rows = near_duplicates.class_links(frame(spark, units), "unit_no", "tokens", 0.5, 40).collect()
