@@ -9,7 +9,7 @@ are computed from the whole vectors, and the k best are kept.
 
 Usable vectors are non-null, non-empty, finite and not all zero; others have no row. Vectors meet only inside
 their group columns and with their own number of elements. Equal vectors are one class and meet once; a
-crowded bucket is split by digits of further rotations. Ties are ordered by id.
+crowded bucket is paired block against block. Ties are ordered by id.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
 from ripplefold.llm.hot import STRIDE, hot_keys
+from ripplefold.operators.blocks import in_blocks
 
 #: Rotations, one table each, and digits changed one at a time per table.
 TABLES = 7
@@ -32,7 +33,7 @@ PROBES = 2
 #: Differing sign bits of 128 up to which a meeting is looked at: at a cosine of 0.7 a bit differs with
 #: probability 0.253, so 42 is two deviations above the mean; unrelated vectors pass once in ten thousand.
 MOST_BITS = 42
-#: Members above which a bucket is split.
+#: Members above which a bucket is paired in blocks of about that size.
 CROWD = 3000
 #: Low half of ``place``, which holds a quarter of the sign bits; the high half is the bucket.
 LOW = 0xFFFFFFFF
@@ -148,8 +149,8 @@ def _hasher(tables: int, probes: int):
         near = pa.array(np.ascontiguousarray(packed[:, :8]).view(np.int64)[:, 0])
         last = pa.array(np.ascontiguousarray(packed[:, 12:]).view(np.int32)[:, 0])
         rest = np.ascontiguousarray(packed[:, 8:12]).view(np.uint32)[:, 0].astype(np.uint64)
-        places = [digits(rotate(x, table)) for table in range(tables)]
-        for table, (best, second, loss) in enumerate(places):
+        for table in range(tables):
+            best, second, loss = digits(rotate(x, table))
             shape = np.uint64(x.shape[1])
             own = best[:, 0].astype(np.uint64) * shape + best[:, 1].astype(np.uint64)
             order = np.argsort(loss, axis=1)
@@ -159,14 +160,12 @@ def _hasher(tables: int, probes: int):
                 changed = best.copy()
                 changed[every, half] = second[every, half]
                 found.append(changed[:, 0].astype(np.uint64) * shape + changed[:, 1].astype(np.uint64))
-            after, later = places[(table + 1) % tables][0], places[(table + 2) % tables][0]
-            finer = (after[:, 0].astype(np.int64) << 24) | (after[:, 1].astype(np.int64) << 12) | later[:, 0]
             for cell in found:
                 spread = (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(table)) * np.uint64(0xBF58476D1CE4E5B9) + cell
                 spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array((((spread >> np.uint64(32)) << np.uint64(32)) | rest).view(np.int64)), near, last, pa.array(finer)],
-                    ["id", "place", "near", "last", "finer"],
+                    [ids, pa.array((((spread >> np.uint64(32)) << np.uint64(32)) | rest).view(np.int64)), near, last],
+                    ["id", "place", "near", "last"],
                 )
 
     return run
@@ -206,16 +205,19 @@ def _meetings(most_bits: int):
     """Pairs (a, b), a < b, of entries of the same bucket; entries come in order of their bucket.
 
     Entries are compared at growing distances inside the runs of equal buckets, a block at a time; a run cut
-    by the end of a batch waits for the next one.
+    by the end of a batch waits for the next one. Where entries have a side, as ``in_blocks`` gives it, only those
+    of different sides meet, and all of side -1.
     """
 
-    def met(ids: np.ndarray, place: np.ndarray, near: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def met(ids: np.ndarray, place: np.ndarray, near: np.ndarray, last: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         cell, found, step = place >> 32, [], 1
         at = np.arange(len(ids) - 1)
         while len(at := at[at + step < len(ids)]) and len(at := at[cell[at] == cell[at + step]]):
             to = at + step
             apart = np.bitwise_count((near[at] ^ near[to]).view(np.uint64)).astype(np.int64) + np.bitwise_count((place[at] ^ place[to]) & LOW) + np.bitwise_count((last[at] ^ last[to]).view(np.uint32))
             good = (apart <= most_bits) & (ids[at] != ids[to])
+            if side is not None:
+                good &= (side[at] < 0) | (side[at] != side[to])
             found.append(np.stack([np.minimum(ids[at[good]], ids[to[good]]), np.maximum(ids[at[good]], ids[to[good]])], axis=1))
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), ids.dtype)
@@ -245,7 +247,7 @@ def candidates(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, m
 
     Entries are shuffled once, by bucket, and paired in order of it; ids are integers.
     """
-    schema = "id bigint, place bigint, near bigint, last int, finer bigint"
+    schema = "id bigint, place bigint, near bigint, last int"
     entries = vectors.mapInArrow(_hasher(tables, probes), schema)
     cell = F.shiftright("place", 32)
     some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(STRIDE)) == 0).mapInArrow(_hasher(tables, probes), schema)
@@ -254,16 +256,14 @@ def candidates(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, m
         return _meet(entries, most_bits).distinct()
     hot = cut(hot).df
     found = _meet(entries.join(hot, cell == F.col("cell"), "left_anti"), most_bits)
-    split = entries.join(hot, cell == F.col("cell"), "left_semi")
-    for shift in (24, 12, 0):
-        finer = F.xxhash64(cell, F.shiftright("finer", shift).bitwiseAND(4095))
-        place = F.shiftleft(finer, 32).bitwiseOR(F.col("place").bitwiseAND(LOW))
-        found = found.unionByName(_meet(split.withColumn("place", place), most_bits))
+    dealt = in_blocks(entries.join(hot, cell == F.col("cell")).drop("cell"), cell, "id", F.col("blocks"))
+    place = F.shiftleft("cell", 32).bitwiseOR(F.col("place").bitwiseAND(LOW))
+    found = found.unionByName(_meet(dealt.withColumn("place", place), most_bits, "side"))
     return found.distinct()
 
 
-def _meet(entries: DataFrame, most_bits: int) -> DataFrame:
-    placed = entries.select("id", "place", "near", "last").repartition(F.shiftright("place", 32)).sortWithinPartitions("place")
+def _meet(entries: DataFrame, most_bits: int, *side: str) -> DataFrame:
+    placed = entries.select("id", "place", "near", "last", *side).repartition(F.shiftright("place", 32)).sortWithinPartitions("place")
     return placed.mapInArrow(_meetings(most_bits), "a bigint, b bigint")
 
 

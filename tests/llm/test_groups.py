@@ -174,3 +174,13 @@ def test_copies_and_crowds_keep_their_neighbours(spark):
     met = neighbours.candidates(packed, crowd=1).select("a").union(neighbours.candidates(packed, crowd=1).select("b")).distinct().count()
     assert met >= 390
     assert neighbours.pairs(near.limit(0), "fp_id", "embedding", ["e", "ver"]).count() == 0
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=256)
+    base *= 16 / np.linalg.norm(base)
+    rows = [(i, "m", 1, (base + rng.normal(size=256) * 0.5).astype(np.float32).tolist(), "") for i in range(400)]
+    packed = cut(neighbours.usable(spark.createDataFrame(rows, FP), "fp_id", "embedding", ["e", "ver"])).df
+    plain, crowded = ({(r.a, r.b) for r in neighbours.candidates(packed, crowd=crowd).collect()} for crowd in (10**6, 1))
+    assert crowded == plain and len(crowded) >= 0.9 * 400 * 399 / 2
