@@ -183,13 +183,29 @@ def d10_via_names(spark, d):
     return blast.with_names(_sites(spark, d), names).select("symbol_id", "via", "via_name")
 
 
-def c10_evidence(spark, d):
-    """Violations, cycles and instability as one list of evidence with weights, numbered together per change brand."""
-    e = cut(edges(spark, d)).df
+def evidence_items(spark, d, cycles: DataFrame) -> DataFrame:
+    """(built, kind, module, summary, weight, change) of violations, instability and ``cycles(component, id, weight)``."""
     v = d5_violations(spark, d).select(F.lit(1).alias("built"), F.lit("layer-violation").alias("kind"), F.col("from_module").alias("module"), F.concat_ws(" ", "rule", edge_key(F.col("from_module"), F.col("to_module"))).alias("summary"), evidence.violation_weight(F.col("introduced")).alias("weight"))
-    c = graph.strong_components(e).select(F.lit(0).alias("built"), F.lit("cycle").alias("kind"), F.col("component").alias("module"), F.col("id").alias("summary"), F.lit(evidence.WEIGHTS["cycle"]).alias("weight"))
+    c = cycles.select(F.lit(0).alias("built"), F.lit("cycle").alias("kind"), F.col("component").alias("module"), F.col("id").alias("summary"), "weight")
     i = d8_instability_deltas(spark, d).select(F.lit(3).alias("built"), F.lit("instability").alias("kind"), "module", evidence.instability_summary(F.col("module"), F.col("before"), F.col("after")).alias("summary"), F.lit(evidence.WEIGHTS["instability"]).alias("weight"))
-    items = v.unionByName(c).unionByName(i).withColumn("change", F.substring_index("module", "/", 1)).withColumn("seq", F.struct("built", "module", "summary"))
+    return v.unionByName(c).unionByName(i).withColumn("change", F.substring_index("module", "/", 1))
+
+
+def weighted_cycles(e: DataFrame) -> DataFrame:
+    """(component, id, weight) of vertices on cycles; cycles that the base revision did not have weigh as introduced."""
+    now = cut(graph.strong_components(e)).df
+    keyed, was = (graph.cycles(x).select(F.array_min("node_ids").alias("component"), component_key(F.col("node_ids")).alias("key")) for x in (now, graph.strong_components(e.where(BASE))))
+    flags = graph.introduced(keyed, was, ["key"]).select("component", evidence.cycle_weight(F.col("introduced")).alias("weight"))
+    return now.join(flags, "component").select("component", "id", "weight")
+
+
+def c10_evidence(spark, d):
+    """Violations, cycles and instability as one list of evidence with weights, numbered together per change brand.
+
+    As in its SQL, every cycle weighs as an existing one; ``j9_impact_evidence`` tells introduced cycles apart.
+    """
+    cycles = graph.strong_components(edges(spark, d)).withColumn("weight", F.lit(evidence.WEIGHTS["cycle"]))
+    items = evidence_items(spark, d, cycles).withColumn("seq", F.struct("built", "module", "summary"))
     return evidence.ordinals(items, ["change"]).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"), F.col("ordinal").cast("int").alias("ordinal"))
 
 

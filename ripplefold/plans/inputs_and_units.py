@@ -216,13 +216,18 @@ def d14_other_repositories(spark, d):
     return similarity.hits_per_unit(_scoped(spark, d).where("not local")).select("unit", "other", F.col("r").cast("int").alias("r"))
 
 
-def g2_ranked_matches(spark, d):
-    """The ten most important of all local and other-repository hits; a unit's fan-in is its number of stored matches."""
+def ranked_matches(spark, d):
+    """The ten most important of all local and other-repository hits, with their similarity."""
     scoped = cut(_scoped(spark, d).select("a", "b", "similarity", "local")).df
     local = similarity.first_direction(similarity.hits_per_unit(scoped.where("local"))).withColumn("scope", F.lit("this-repository"))
     other = similarity.hits_per_unit(scoped.where("not local")).withColumn("scope", F.lit("other-repository"))
     fan = unique(spark, d, "stored_matches", "match_id", "match_no").where("match_no is not null").groupBy(F.col("match_no").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
-    return similarity.ranked(local.unionByName(other), fan).select("unit", "other", "scope", "importance")
+    return similarity.ranked(local.unionByName(other), fan)
+
+
+def g2_ranked_matches(spark, d):
+    """The ten most important of all local and other-repository hits; a unit's fan-in is its number of stored matches."""
+    return ranked_matches(spark, d).select("unit", "other", "scope", "importance")
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ripplefold.durable import cut, application_folder
 from ripplefold.functions import sequential, text
 from ripplefold.operators import blast, evidence, graph, jobs, vectors
-from ripplefold.plans import graphs, records
+from ripplefold.plans import graphs, inputs_and_units, records
 from ripplefold.sources import inputs, sinks
 from ripplefold.sources.tables import table, unique
 from ripplefold.streaming import jobs as stream
@@ -102,14 +102,31 @@ def i6_relative_paths(spark, d):
 
 
 def j9_impact_evidence(spark, d):
-    """The whole impact of the change as one packed list of evidence per brand: sites, violations, cycles, instability."""
+    """The whole impact of the change as one packed list of evidence per brand: cycles, violations, sites, instability, duplicates.
+
+    Units belong to no brand, so the duplicates, ten at most, are evidence of every brand's list.
+    """
     e = cut(graphs.edges(spark, d)).df
     sites, _ = blast.blast_radius(e, graphs._changed(e), 3, None)
     sites = blast.with_fan_in(sites, graph.coupling(graphs.nodes(spark, d), e))
     site_items = sites.select(F.substring_index("origin", "/", 1).alias("change"), F.lit("impacted-site").alias("kind"), F.concat_ws(" ", "symbol_id", F.lit("via"), "via").alias("summary"), evidence.site_weight(F.col("hops"), F.col("module_fan_in")).cast("int").alias("weight"))
-    other = graphs.c10_evidence(spark, d).select("change", "kind", "summary", "weight")
-    items = site_items.unionByName(other).withColumn("cost", text.estimated_tokens(F.col("summary"))).withColumn("seq", F.struct("kind", "summary"))
-    ranked = evidence.ordinals(items, ["change"]).drop("seq")
+    other = graphs.evidence_items(spark, d, graphs.weighted_cycles(e)).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"))
+    of_brands = cut(site_items.unionByName(other)).df
+    duplicates = duplicate_items(inputs_and_units.ranked_matches(spark, d))
+    return packed_evidence(of_brands.unionByName(of_brands.select("change").distinct().crossJoin(F.broadcast(duplicates))))
+
+
+def duplicate_items(hits):
+    """(kind, summary, weight) of ranked hits of similar units."""
+    said = F.concat_ws(" ", F.col("unit").cast("string"), F.lit("is"), F.format_string("%.2f", text.round_half_up(F.col("similarity"))), F.lit("similar to"), F.col("other").cast("string"), F.lit("in"), "scope")
+    return hits.select(F.lit("duplicate").alias("kind"), said.alias("summary"), evidence.duplicate_weight(F.col("similarity")).cast("int").alias("weight"))
+
+
+def packed_evidence(items):
+    """Items (change, kind, summary, weight) numbered per change, by weight and order of building, and packed."""
+    built = F.array_position(F.array(*map(F.lit, evidence.BUILD_ORDER)), F.col("kind"))
+    costed = items.withColumn("cost", text.estimated_tokens(F.col("summary"))).withColumn("seq", F.struct(built.alias("built"), F.col("summary")))
+    ranked = evidence.ordinals(costed, ["change"]).drop("seq")
     return evidence.packed(ranked, ["change"], ["ordinal"], "cost", 2000).select("change", "kind", "summary", "weight", F.col("ordinal").cast("int").alias("ordinal"), "kept")
 
 

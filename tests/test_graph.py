@@ -3,7 +3,10 @@ from __future__ import annotations
 import random
 from collections import deque
 
+from pyspark.sql import functions as F
+
 from ripplefold.operators import blast, graph
+from ripplefold.plans import graphs, stores
 
 EDGE = "src string, dst string, specifier string, ord long"
 
@@ -115,3 +118,12 @@ def test_references_that_are_uses(spark):
     rows = [("s", "a.ts", 1, "a.ts", 1, False), ("s", "b.ts", 1, "a.ts", 1, True), ("s", "b.ts", 9, "a.ts", 1, False), ("s", "node_modules/x.ts", 2, "a.ts", 1, None), ("s", "c.ts", 1, None, None, None)]
     got = blast.usable_references(spark.createDataFrame(rows, "symbol_id string, path string, line int, declared_path string, declared_line int, in_import boolean"))
     assert {(r.path, r.line) for r in got.collect()} == {("b.ts", 9), ("c.ts", 1)}
+
+
+def test_introduced_cycles_and_duplicates_are_evidence(spark, tiny_dir):
+    seen = [("a", "b", "1999-01-01"), ("b", "a", "2001-01-01"), ("c", "d", "1998-01-01"), ("d", "c", "1998-01-01")]
+    e = spark.createDataFrame(seen, "src string, dst string, first_seen string").withColumn("first_seen", F.col("first_seen").cast("timestamp"))
+    assert {(r.id, r.weight) for r in graphs.weighted_cycles(e).collect()} == {("a", 1000), ("b", 1000), ("c", 250), ("d", 250)}
+    rows = stores.j9_impact_evidence(spark, tiny_dir).collect()
+    copies = [r for r in rows if r.kind == "duplicate"]
+    assert copies and {r.change for r in copies} == {r.change for r in rows} and all(685 <= r.weight <= 700 for r in copies)
