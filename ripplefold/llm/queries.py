@@ -23,8 +23,7 @@ LEAST_REPEATED = 0.3
 
 def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = table(spark, d, "source_files").select("repo", "file", "head", "n_lines", "n_bytes")
-    attributes = files.where(F.col("file").rlike(r"(^|[/\\])\.gitattributes$")).select("repo", "file", F.col("head").alias("content"))
-    return files, attributes
+    return files, handwritten.whole_attribute_files(files)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

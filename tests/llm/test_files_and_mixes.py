@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ripplefold.llm import handwritten, mixing
 
@@ -32,6 +33,76 @@ def test_attribute_files_decide_by_depth_and_line(spark):
     assert reasons(spark, rows, attributes) == {("r", "lib/a.ts"): "declared", ("r", "lib/sub/b.ts"): "declared"}
 
 
+ATTRIBUTES = {
+    ".gitattributes": """# rules
+[attr]vend linguist-vendored
+[attr]ours -linguist-vendored !linguist-generated
+lib/** vend
+lib/sub/*.js ours
+*.gen.ts linguist-generated
+/top.ts linguist-generated=true
+a**b.ts linguist-generated
+**/out/** linguist-generated
+deep/**/x.ts linguist-vendored
+dir/ linguist-generated
+!neg.ts linguist-generated
+"sp ace.ts" linguist-generated
+k[0-9][!a].ts linguist-generated
+*.txt text
+both.ts linguist-generated -linguist-generated linguist-vendored=false
+""",
+    "lib/.gitattributes": "*.gen.ts !linguist-generated\nkeep.ts -linguist-vendored\nown/* vend\n",
+    "lib/sub/.gitattributes": "b.ts linguist-vendored=false\n/c.ts linguist-generated\n",
+}
+PATHS = [
+    "lib/a.ts", "lib/keep.ts", "lib/sub/b.ts", "lib/sub/c.ts", "lib/sub/d/c.ts", "lib/sub/e.js", "lib/x.gen.ts", "src/x.gen.ts", "top.ts", "src/top.ts", "axxb.ts", "a/xb.ts", "out/f.ts", "q/out/r/f.ts",
+    "deep/x.ts", "deep/y/z/x.ts", "deep/y/x.tsx", "dir/f.ts", "neg.ts", "!neg.ts", "sp ace.ts", "k1b.ts", "k1a.ts", "kxb.ts", "notes.txt", "both.ts", "lib/own/p.ts", "own/p.ts", "outfile.ts", "src/out",
+]
+
+
+def test_attributes_resolve_as_git_resolves_them(spark, tmp_path):
+    import subprocess
+
+    for name, content in ATTRIBUTES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True, env={"HOME": str(tmp_path), "PATH": "/usr/bin:/bin:/usr/local/bin"})
+    told = subprocess.run(["git", "-C", str(tmp_path), "check-attr", "-z", "linguist-generated", "linguist-vendored", "--", *PATHS], check=True, capture_output=True, text=True).stdout.split("\0")
+    values = {}
+    for path, _, value in zip(told[::3], told[1::3], told[2::3]):
+        values.setdefault(path, []).append({"set": True, "true": True, "unset": False, "false": False}.get(value))
+    truth = {p: True if True in v else False for p, v in values.items() if v != [None, None]}
+    rules = handwritten.attribute_rules(spark.createDataFrame([("r", f, c) for f, c in ATTRIBUTES.items()] + [("s", ".gitattributes", None)], "repo string, file string, content string"))
+    paths = spark.createDataFrame([(r, p) for r in ("r", "s") for p in PATHS] + [(None, "a.ts"), ("r", None)], "repo string, path string")
+    got = {(x.repo, x.path): x.declared for x in handwritten.declared(paths, rules).collect()}
+    assert got == {("r", p): v for p, v in truth.items()} and len(truth) > 15
+
+
+def test_cut_attribute_files_are_refused(spark):
+    whole = "lib/** linguist-vendored\n"
+    rows = [("r", ".gitattributes", whole, 1, len(whole)), ("s", "x\\\\.gitattributes", whole, 9, 4000), ("t", "a/.gitattributes", whole, None, None), ("u", "my.gitattributes", whole, 1, 5), ("v", ".gitattributes", None, 1, 5)]
+    got = handwritten.whole_attribute_files(spark.createDataFrame(rows, "repo string, file string, head string, n_lines int, n_bytes long"))
+    assert {(r.repo, r.content) for r in got.collect()} == {("r", whole), ("t", whole)}
+
+
+def test_phrases_stop_at_code(spark):
+    heads = ["// Made by x 1.2.3\n\ncode();\n// later words here too", None, "", "code();", "/* one */"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, head string")
+    got = {r.i: r.p for r in df.select("i", handwritten.phrases(F.col("head")).alias("p")).collect()}
+    assert got == {0: ["^ made by", "made by x", "by x #", "x # $"], 1: [], 2: [], 3: [], 4: ["^ one $"]}
+
+
+def test_mined_phrases_and_deep_paths_reach_silent_files(spark):
+    told = "// shaped with care by loom 1.0\n" + CODE
+    rows = [(f"r{i % 9}", f"src/m{i}/api{i}.pb.ts", told, 50, 1500) for i in range(40)] + [(f"r{i % 9}", f"src/n{i}/plain{i}.ts", told, 50, 1500) for i in range(9)]
+    rows += [(f"r{i % 9}", f"src/o{i}/cart.store.ts", "// our own words\n" + CODE, 50, 1500) for i in range(200)]
+    marked = "// @generated by the compiler 1.0\n" + CODE
+    rows += [(f"r{i % 9}", f"kit{i}/snap/{'/'.join('abcdefgh'[: i % 8 + 1])}/u{i}-{i}x/one_{i}.dart", marked if i % 4 else CODE, 50, 1500) for i in range(40)]
+    got = reasons(spark, rows)
+    assert all(got[(r, f)] == "phrase" for r, f, h, *_ in rows if h == told)
+    assert set(got) == {(r, f) for r, f, h, *_ in rows if h in (told, marked) or f.endswith(".dart")}
+
+
 def test_files_tell_by_themselves(spark):
     rows = [
         ("r", "a.ts", "// Code generated by x v1. DO NOT EDIT.\n" + CODE, 10, 300),
