@@ -3,8 +3,9 @@
 Every vertex holds a cluster set, at first itself and its neighbours. In each round it sends the whole set to
 the set's smallest member and that smallest member to all others; a vertex's next set is the union of what it
 was sent. At the fixed point the smallest vertex of a group holds the group and every other vertex holds just
-that smallest one. Sets are rows (vertex, member), never arrays, so a group with a third of all vertices is
-spread over tasks by the hash of the row.
+that smallest one. Sets are rows (vertex, member), never arrays. The smallest members are written before the sets
+meet them, so both sides of that join are tables of known size: a small one is broadcast within the planner's
+limit, else the rows of a giant group's smallest vertex are one key, which adaptive execution splits over tasks.
 
 A record without links, or linked only to itself, is a group of its own. Null ends, and links whose strength
 is null, NaN or below the threshold, join nothing, but a non-null end still names a record.
@@ -37,7 +38,7 @@ def records(df: DataFrame, left: str, right: str, name: str = "v") -> DataFrame:
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(v, group_no) for every end of an edge; group_no is the smallest vertex of v's component.
 
-    Each round is one min per vertex, one join and one distinct; its rows are written to the shared folder,
+    Each round is one min per vertex, one join and one distinct; both are written to the shared folder, the rows
     with their number and a checksum observed on the way, and the loop ends when both stay the same.
     """
     pairs = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null")
@@ -45,11 +46,12 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     sums = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x"))
     clusters = cut(start.select("x.v", "x.u").distinct(), *sums)
     for _ in range(max_rounds):
-        least = clusters.df.groupBy("v").agg(F.min("u").alias("m"))
-        sent = clusters.df.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
+        least = cut(clusters.df.groupBy("v").agg(F.min("u").alias("m")))
+        sent = clusters.df.join(least.df, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
         after = cut(sent.select("x.v", "x.u").distinct(), *sums)
         stable = after.metrics == clusters.metrics
         clusters.drop()
+        least.drop()
         clusters = after
         if stable:
             return clusters.df.groupBy("v").agg(F.min("u").alias("group_no"))
