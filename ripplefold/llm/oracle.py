@@ -40,6 +40,18 @@ SELECT model, graph_grounded, measure, q, CAST(floor(quantile_cont * 100 + 0.5)
   SELECT model, graph_grounded, measure, CAST(0.95 AS DOUBLE), quantile_cont(x::DOUBLE, 0.95) FROM measured GROUP BY model, graph_grounded, measure)
 """
 
+# The bucket of the exact value: a quantile of the sketch is right where it names the bucket of the value at its rank.
+_GAMMA = "(1.01 / 0.99)"
+P3_PERCENTILES = f"""
+WITH {_MEASURES}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY model, graph_grounded, measure ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY model, graph_grounded, measure) AS total FROM measured),
+asked AS (SELECT unnest([0.05::DOUBLE, 0.5, 0.9, 0.95, 0.99]) AS q),
+hit AS (SELECT model, graph_grounded, measure, q, total, CAST(ceil(ln(x::DOUBLE) / ln({_GAMMA}::DOUBLE)) AS INTEGER) AS bucket FROM placed JOIN asked ON place = floor(q * (total - 1)))
+SELECT model, graph_grounded, measure, q, bucket, CAST(floor(2000 * pow({_GAMMA}::DOUBLE, bucket) / ({_GAMMA}::DOUBLE + 1) + 0.5) AS BIGINT) AS value,
+  CAST(floor(1000 * pow({_GAMMA}::DOUBLE, bucket - 1) + 0.5) AS BIGINT) AS low, CAST(floor(1000 * pow({_GAMMA}::DOUBLE, bucket) + 0.5) AS BIGINT) AS high, total
+FROM hit
+"""
+
 P5_FOUND = """
 WITH u AS (SELECT unit_no, any_value(tokens) AS t FROM function_units WHERE len(tokens) >= 40 GROUP BY unit_no),
 s AS (SELECT DISTINCT unit_no, array_to_string([coalesce(x, chr(0)) FOR x IN t[i:i + 4]], chr(1)) AS g
@@ -71,6 +83,7 @@ SQL = {
     "p2_found": P2,
     "p3_found": P3_FOUND,
     "p3_exact_percentiles": P3_EXACT,
+    "p3_percentiles": P3_PERCENTILES,
     "p5_found": P5_FOUND,
     "p8_measures": P8_MEASURES,
     "p8_found": P8_FOUND,

@@ -53,12 +53,12 @@ def _ordered(counts: DataFrame, by: list[str]) -> DataFrame:
 
     A group has at most as many rows as there are buckets between its extremes, whatever the number of values.
     """
-    order = W.partitionBy(*by).orderBy((F.col("sign") * F.col("bucket") + F.col("sign").cast("long") * (1 << 20)))
+    order = W.partitionBy(*by).orderBy("sign", F.col("sign") * F.col("bucket"))
     return counts.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(W.partitionBy(*by))).withColumn("before", F.col("upto") - F.col("n"))
 
 
 def estimate(counts: DataFrame, by: list[str], quantiles: list[float], alpha: float = ALPHA) -> DataFrame:
-    """(by..., q, value, low, high, total): each quantile by nearest lower rank, with the bounds that hold it."""
+    """(by..., q, bucket, value, low, high, total): each quantile by nearest lower rank, with the bounds that hold it."""
     g = _gamma(alpha)
     asked = _ordered(counts, by).withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))))
     rank = F.floor(F.col("q") * (F.col("total") - 1))
@@ -67,22 +67,23 @@ def estimate(counts: DataFrame, by: list[str], quantiles: list[float], alpha: fl
     middle = F.when(F.col("sign") == 0, 0.0).otherwise(F.col("sign") * 2 * outer / (g + 1))
     low = F.when(F.col("sign") > 0, inner).when(F.col("sign") < 0, -outer).otherwise(0.0)
     high = F.when(F.col("sign") > 0, outer).when(F.col("sign") < 0, -inner).otherwise(0.0)
-    return hit.select(*by, "q", middle.alias("value"), low.alias("low"), high.alias("high"), "total")
+    return hit.select(*by, "q", "bucket", middle.alias("value"), low.alias("low"), high.alias("high"), "total")
 
 
 def exact(df: DataFrame, counts: DataFrame, by: list[str], value: str, quantile: Column, alpha: float = ALPHA) -> DataFrame:
     """(by..., exact_q): the linearly interpolated quantile of each group, found through its sketch.
 
-    The sketch names the one or two buckets that hold the wanted ranks; only their rows are read again, and
-    only as counts per distinct value, so neither a group nor a bucket is ever gathered. ``quantile`` may
-    depend on the group columns. Groups without a finite value have no row.
+    The sketch names the one or two buckets that hold the wanted ranks, so the second pass over the rows meets that
+    table first (broadcast where the planner finds it within its limit) and counts only the distinct values of those
+    buckets: neither a group nor a bucket is ever gathered. ``quantile`` may depend on the group columns, which
+    must not be null, as null groups never meet. Groups without a finite value have no row.
     """
     place = quantile * (F.col("total") - 1)
     asked = _ordered(counts, by).withColumn("at", place)
     wanted = asked.where((F.ceil("at") >= F.col("before")) & (F.floor("at") < F.col("upto"))).select(*by, "sign", "bucket", "before", "at")
     sign, bucket = bucket_of(F.col(value), alpha)
     rows = df.select(*by, F.col(value).cast("double").alias("x"), sign.alias("sign"), bucket.alias("bucket"))
-    held = rows.groupBy(*by, "sign", "bucket", "x").agg(F.count(F.lit(1)).alias("n")).join(wanted, [*by, "sign", "bucket"])
+    held = rows.join(wanted, [*by, "sign", "bucket"]).groupBy(*by, "sign", "bucket", "before", "at", "x").agg(F.count(F.lit(1)).alias("n"))
     within = W.partitionBy(*by, "sign", "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     ranked = held.withColumn("end", F.col("before") + F.sum("n").over(within)).withColumn("begin", F.col("end") - F.col("n"))
 

@@ -66,9 +66,10 @@ QUANTILES = [0.05, 0.5, 0.9, 0.95, 0.99]
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each group from one sketch per day, put together; bounds hold the exact value."""
+    """Percentiles of each group from one sketch per day, put together, in thousandths; bounds hold the exact value."""
     daily = quantiles.sketch(_measures(spark, d), [*GROUP, "day"], "x")
-    return quantiles.estimate(quantiles.merge(daily, by=GROUP), GROUP, QUANTILES)
+    told = quantiles.estimate(quantiles.merge(daily, by=GROUP), GROUP, QUANTILES)
+    return told.select(*GROUP, "q", "bucket", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("value", "low", "high")), "total")
 
 
 def p3_exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
