@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplefold.durable import cut
+
 #: Relative width of a bucket for production queries.
 ALPHA = 0.01
 
@@ -74,13 +76,13 @@ def exact(df: DataFrame, counts: DataFrame, by: list[str], value: str, quantile:
     """(by..., exact_q): the linearly interpolated quantile of each group, found through its sketch.
 
     The sketch names the one or two buckets that hold the wanted ranks, so the second pass over the rows meets that
-    table first (broadcast where the planner finds it within its limit) and counts only the distinct values of those
+    table first (written, so that the planner knows its size and broadcasts it within its limit) and counts only the distinct values of those
     buckets: neither a group nor a bucket is ever gathered. ``quantile`` may depend on the group columns, which
     must not be null, as null groups never meet. Groups without a finite value have no row.
     """
     place = quantile * (F.col("total") - 1)
     asked = _ordered(counts, by).withColumn("at", place)
-    wanted = asked.where((F.ceil("at") >= F.col("before")) & (F.floor("at") < F.col("upto"))).select(*by, "sign", "bucket", "before", "at")
+    wanted = cut(asked.where((F.ceil("at") >= F.col("before")) & (F.floor("at") < F.col("upto"))).select(*by, "sign", "bucket", "before", "at")).df
     sign, bucket = bucket_of(F.col(value), alpha)
     rows = df.select(*by, F.col(value).cast("double").alias("x"), sign.alias("sign"), bucket.alias("bucket"))
     held = rows.join(wanted, [*by, "sign", "bucket"]).groupBy(*by, "sign", "bucket", "before", "at", "x").agg(F.count(F.lit(1)).alias("n"))

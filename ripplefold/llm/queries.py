@@ -57,7 +57,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     measured = cut(_measures(spark, d).drop("day")).df
     counts = cut(quantiles.sketch(measured, GROUP, "x")).df
     slow = F.col("measure") == "llm_latency_ms"
-    limits = quantiles.exact(measured, counts, GROUP, "x", F.when(slow, 0.95).otherwise(0.05))
+    limits = cut(quantiles.exact(measured, counts, GROUP, "x", F.when(slow, 0.95).otherwise(0.05))).df
     joined = measured.join(limits, GROUP)
     return joined.where(F.when(slow, F.col("x") > 2 * F.col("exact_q")).otherwise(4 * F.col("x") < F.col("exact_q"))).select("run_id", "measure")
 
