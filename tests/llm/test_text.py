@@ -86,3 +86,26 @@ def test_repetitive_texts_are_found_and_odd_ones_defined(spark):
 def test_posteriors_follow_agreeing_rules():
     table = repetition.fit([((1, 1, 1, 1, 1), 50), ((-1, -1, -1, -1, -1), 900), ((1, 0, 0, 1, 0), 10), ((-1, 0, -1, 0, -1), 40)])
     assert table[(1, 1, 1, 1, 1)] > 0.99 > 0.01 > table[(-1, -1, -1, -1, -1)] and table[(1, 0, 0, 1, 0)] > 0.5
+
+
+def test_corpora_of_one_kind_keep_their_true_texts(spark):
+    """One-line texts vote on runs and words only; alone or beside clean texts, all with a share of 0.3 come out."""
+    halves = [" ".join(f"a{i}b{j}" for j in range(40)) for i in range(30)]
+    spam = [f"{h} {h} tail{i}" for i, h in enumerate(halves)]
+    clean = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(300)]
+    for texts, n in ((spam, 30), (spam + clean, 30), (spam[:1] + clean, 1), (clean, 0), (spam[:1], 1)):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id for r in repetition.repetitive(repetition.measures(df, "doc_id")).collect()}
+        assert got == set(range(n))
+
+
+def test_no_true_text_is_voted_clean_by_runs_or_variety():
+    rng = random.Random(11)
+    for _ in range(3000):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9)) for _ in range(rng.randint(8, 90))]
+        for _ in range(rng.randint(0, 3)):
+            at, n = rng.randrange(len(words)), rng.randint(4, 30)
+            words[rng.randrange(len(words)) : 0] = words[at : at + n]
+        covered, fours, _, variety = repetition.repeated_words(words)
+        if covered >= 0.3 * len(words):
+            assert fours >= 0.1875 and variety <= 0.7
