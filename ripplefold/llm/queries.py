@@ -107,7 +107,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
     targets = table(spark, d, "source_targets")
     sized = encode.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
-    docs = cut(mixing.placed(sized, targets, "doc_id", "source")).df
+    docs = cut(mixing.named(sized, targets, "doc_id", "source")).df
     return mixing.Mix(spark, docs, targets, "doc_id")
 
 
@@ -119,6 +119,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each target's source, and how many break a rule of the drawn mix: none."""
+    return _mix(spark, d).audit()
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).rows()
 
@@ -145,7 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_reasons, p2_found, p3_found, p3_percentiles, p3_exact_percentiles, p4_found, p5_found, p5_classes,
-            p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_measures, p8_posterior,
+            p6_ids, p7_found, p7_shares, p7_audit, p7_mix, p8_found, p8_measures, p8_posterior,
         )
     }
 

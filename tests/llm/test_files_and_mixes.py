@@ -142,8 +142,10 @@ DOCS = "doc_id long, source string, n_tokens long, extra string"
 def test_mix_reaches_targets_within_caps(spark):
     docs = [(i, " Big ", 100, "") for i in range(3000)] + [(10_000 + i, "SMALL", 90 + i % 21, "") for i in range(400)] + [(20_000 + i, "tiny", 50, "") for i in range(10)] + [(30_000, None, 5, ""), (30_001, "other", 5, ""), (30_002, "big", 0, "")]
     targets = spark.createDataFrame([("big", 0.6, 1), ("Small", 0.3, 5), ("tiny", 0.06, 2), ("absent", 0.04, 9)], "source string, target_share double, max_repeats int")
-    placed = mixing.placed(spark.createDataFrame(docs, DOCS), targets, "doc_id", "source")
+    docs += [(40_000 + i, "\u00a0BIG\u2003", 10, "") for i in range(5)]
+    placed = mixing.named(spark.createDataFrame(docs, DOCS), targets, "doc_id", "source")
     mix = mixing.Mix(spark, placed, targets, "doc_id", shards=5)
+    assert mix.plan["big"]["size"] == 300_050
     assert {r.source for r in mix.short().collect()} == {"tiny", "absent"}
     shares = {r.source: r for r in mix.shares().collect()}
     assert abs(shares["big"].used_tokens / shares["big"].want_tokens - 1) < 0.01 and abs(shares["Small"].used_tokens / shares["Small"].want_tokens - 1) < 0.02
@@ -151,12 +153,41 @@ def test_mix_reaches_targets_within_caps(spark):
     rows = mix.rows().collect()
     assert max(r.repeat for r in rows if r.source == "small") < 5 and len({(r.doc_id, r.repeat) for r in rows}) == len(rows)
     assert sum(r.n_tokens for r in rows) == sum(s.used_tokens for s in shares.values()) and {r.shard for r in rows} == set(range(5))
+    assert all((r.doubled, r.over_cap, r.broken) == (0, 0, 0) for r in mix.audit().collect()) and abs(sum(s.actual_share for s in shares.values()) - 1) < 1e-9
+    # Each shard holds exactly the blocks its leaf of the tree drew.
+    blocks = {n: p["blocks"] for n, p in mix.plan.items()}
+    numbered = {r.doc_id: r.b for n in blocks for r in placed.where(F.col("source") == n).select("doc_id", mix._block(F.lit(blocks[n])).alias("b")).collect()}
+    held = {(r.shard, r.source, numbered[r.doc_id], r.repeat) for r in rows}
+    for i, name in enumerate(mix.names):
+        per = [len({x for x in held if x[0] == s and x[1] == name}) for s in range(5)]
+        assert all(p <= q for p, q in zip(per, mix.quota[:, i])) and len({x[2:] for x in held if x[1] == name}) == sum(per)
+
+
+def test_partial_passes_end_at_the_nearest_block_at_any_size(spark):
+    docs = spark.createDataFrame([(i, "a", 7, "") for i in range(20_000)], DOCS)
+    for share in (0.1, 0.37, 0.999):
+        targets = spark.createDataFrame([("a", share, 1)], "source string, target_share double, max_repeats int")
+        mix = mixing.Mix(spark, mixing.named(docs, targets, "doc_id", "source"), targets, "doc_id", block_tokens=2)
+        got = mix.shares().first()
+        assert mix.plan["a"]["blocks"] == 70_000 and abs(got.used_tokens - share * 140_000) <= 21 and not got.short
+    twice = spark.createDataFrame([("a", 0.5, 1), (" A", 0.5, 1), (None, 0.1, 1), ("b", None, None)], "source string, target_share double, max_repeats int")
+    mix = mixing.Mix(spark, mixing.named(docs, twice, "doc_id", "source"), twice, "doc_id")
+    assert [(r.source, r.used_tokens, r.short) for r in mix.shares().orderBy("source").collect()] == [(" A", 140_000, False), ("a", 140_000, False), ("b", 0, False)]
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    targets = spark.createDataFrame([(x, 0.1, 1) for x in "abc"], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.named(spark.createDataFrame([], DOCS), targets, "doc_id", "source")
 
 
 def test_empty_mixes(spark):
     none = spark.createDataFrame([], DOCS)
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
-    mix = mixing.Mix(spark, mixing.placed(none, targets, "doc_id", "source"), targets, "doc_id")
+    mix = mixing.Mix(spark, mixing.named(none, targets, "doc_id", "source"), targets, "doc_id")
     assert mix.rows().count() == 0 and mix.short().count() == 0 and mix.shares().first().actual_share == 0.0
-    mix = mixing.Mix(spark, mixing.placed(none, targets.limit(0), "doc_id", "source"), targets.limit(0), "doc_id")
+    mix = mixing.Mix(spark, mixing.named(none, targets.limit(0), "doc_id", "source"), targets.limit(0), "doc_id")
     assert mix.rows().count() == 0 and mix.short().count() == 0
