@@ -23,9 +23,10 @@ def blast_radius(edges: DataFrame, changed: DataFrame, max_hops: int = MAX_HOPS,
 
     ``edges`` is (src, dst, ord), src depends on dst and ord orders a target's dependants; ``changed`` is
     (id, ord). A vertex is expanded once; when ``max_lookups`` expansions are used the walk stops and tells so.
-    Changed vertices are never sites. An empty change has no sites.
+    Changed vertices are never sites. An empty change has no sites. The edges are read once per hop, so they
+    should be a written table.
     """
-    reverse = cut(edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), F.col("ord").cast("long").alias("edge_ord"))).df
+    reverse = edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), F.col("ord").cast("long").alias("edge_ord"))
     kind = changed.schema["id"].dataType.simpleString()
     start = changed.groupBy("id").agg(F.min("ord").alias("ord")).select("id", F.col("id").alias("origin"), F.array(F.col("ord").cast("long")).alias("path"))
     frontier = cut(start, F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ripplefold.durable import cut
 from ripplefold.functions.text import round_half_up
 
 #: Weights of the kinds of evidence, and the order in which kinds are built.
@@ -31,32 +36,56 @@ def violation_weight(introduced: Column) -> Column:
     return F.when(introduced, WEIGHTS["introduced-violation"]).otherwise(WEIGHTS["violation"])
 
 
-def ordinals(items: DataFrame, by: list[str], weight: str = "weight", seq: str = "seq") -> DataFrame:
-    """Items with ``ordinal`` and ``evidence_id`` (E1, E2, ...) inside each of ``by``: weight down, then build order."""
-    order = W.partitionBy(*by).orderBy(F.desc(weight), seq)
-    return items.withColumn("ordinal", F.row_number().over(order)).withColumn("evidence_id", F.concat(F.lit("E"), F.col("ordinal")))
+def ordinals(items: DataFrame, by: list[str], weight: str = "weight", seq: str = "seq", spread: bool = False) -> DataFrame:
+    """Items with ``ordinal`` and ``evidence_id`` (E1, E2, ...) inside each of ``by``: weight down, then build order.
+
+    ``spread`` numbers groups of any size over many tasks; without it a group is sorted in one.
+    """
+    order = [F.desc(weight), F.asc(seq)]
+    placed = numbered(items, by, order, "ordinal") if spread else items.withColumn("ordinal", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return placed.withColumn("evidence_id", F.concat(F.lit("E"), F.col("ordinal")))
 
 
-def packed(items: DataFrame, by: list[str], order: list[str], cost: str, budget: Column | int) -> DataFrame:
+def numbered(items: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Items with their place in each of ``by``, whatever the size of a group.
+
+    Rows are ranged by group and order over the partitions, and each partition counts its groups; a row's place is
+    its place in its partition after the rows of the partitions before. What is counted has a row per partition and
+    group that meet there.
+    """
+    ranged = cut(items.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())).df
+    counted = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counted.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_{k}") for k in by), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_part", *by).orderBy(*order)))
+    return local.join(offsets, same).withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_p", "_local", "_before", *(f"_{k}" for k in by))
+
+
+def packed(items: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
     """Items with ``kept``: taken greedily in order while they fit; one that does not fit is skipped and later,
     smaller ones may still be taken.
 
-    The decision depends on all before it, so a group's costs are folded as one array; a group is one prompt,
-    which is bounded by what a change can reach. Groups are independent and spread over tasks. A null cost
-    counts as 0.
+    The decision depends on all before it, so a group passes one task in order, row by row, with nothing kept but
+    the sum so far. Groups are independent and spread over tasks. A null cost counts as 0.
     """
-    limit = budget if isinstance(budget, Column) else F.lit(budget)
-    place = F.struct(*order)
-    item = F.struct(place.alias("o"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("c"), F.struct(*items.columns).alias("x"))
-    grouped = items.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(limit).cast("long").alias("budget"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(done: Column, it: Column) -> Column:
-        fits = done["used"] + it["c"] <= F.col("budget")
-        return F.struct((done["used"] + F.when(fits, it["c"]).otherwise(0)).alias("used"), F.concat(done["kept"], F.array(fits)).alias("kept"))
-
-    folded = grouped.withColumn("kept", F.aggregate("items", start, step, lambda done: done["kept"]))
-    return folded.select(F.explode(F.arrays_zip(F.col("items.x").alias("x"), "kept")).alias("z")).select("z.x.*", "z.kept")
+    schema = T.StructType([*items.schema.fields, T.StructField("kept", T.BooleanType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = None, 0
+        for batch in batches:
+            kept = []
+            for key, c in zip(zip(*(batch.column(k).to_pylist() for k in by)), batch.column(cost).to_pylist()):
+                if key != group:
+                    group, used = key, 0
+                fits = used + (c or 0) <= budget
+                used += (c or 0) * fits
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], [*batch.schema.names, "kept"])
+
+    return items.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def rendered(items: DataFrame, by: list[str]) -> DataFrame:

@@ -70,76 +70,91 @@ def violations(edges: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataF
     return broken.select("rule", F.col("src").alias("from_module"), F.col("dst").alias("to_module"), "specifier")
 
 
-#: Vertices up to which a component left by trimming is finished in one task, and rounds before that.
+#: Edges up to which a weakly connected remainder is finished in one task, and rounds before that.
 SMALL_COMPONENT = 200_000
 ROUNDS = 50
 
 
-def strong_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int = ROUNDS, small: int = SMALL_COMPONENT) -> DataFrame:
     """(id, component) of vertices on cycles: component is the smallest vertex reachable both ways.
 
     Vertices without an incoming or without an outgoing edge leave repeatedly; what remains is coloured: the
     greatest vertex that reaches each is spread forward, and inside a colour those that reach its root backward
-    form a component. Long chains, which would take one round per link, are left after ``rounds`` rounds to one
-    pass per weakly connected remainder. Vertices off all cycles have no row, a self-loop is a cycle of one.
+    form a component. Long chains take one round per link; after ``rounds`` rounds the weakly connected remainders
+    of at most ``small`` edges are finished with one task each, and larger ones go on in rounds to their end.
+    Vertices off all cycles have no row, a self-loop is a cycle of one.
     """
-    spark = edges.sparkSession
     pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     done = pairs.df.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
-    left = cut(pairs.df.where("src <> dst"), F.count(F.lit(1)).alias("n"))
+    parts, left = _coloured(pairs.df.where("src <> dst"), rounds)
+    if left is not None:
+        labels = cut(weak_components(left)).df
+        placed = left.join(labels.select(F.col("id").alias("src"), "group_no"), "src").select("src", "dst", "group_no")
+        sized = cut(placed.join(placed.groupBy("group_no").agg((F.count(F.lit(1)) <= small).alias("few")), "group_no"), F.max((~F.col("few")).cast("int")).alias("many"))
+        kind = edges.schema["src"].dataType.simpleString()
+        parts = parts.unionByName(sized.df.where("few").select("src", "dst", "group_no").groupBy("group_no").applyInPandas(_components_of, f"id {kind}, c {kind}"))
+        if sized.metrics["many"]:
+            parts = parts.unionByName(_coloured(sized.df.where("not few").select("src", "dst"), None)[0])
+    groups = parts.groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    cyclic = parts.join(groups, "c").select("id", "component")
+    return cyclic.unionByName(done.join(cyclic.select("id"), "id", "left_anti"))
+
+
+def _coloured(edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """((id, c) of the components found, the edges left when the rounds were used, if any)."""
+    most = float("inf") if rounds is None else rounds
+    left = cut(edges, F.count(F.lit(1)).alias("n"))
     found: list[DataFrame] = []
     used = 0
-    while left.metrics["n"] and used < rounds:
-        while used < rounds:
+    while left.metrics["n"] and used < most:
+        while used < most:
             used += 1
             inner = left.df.join(left.df.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.df.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             smaller = cut(inner.select("src", "dst"), F.count(F.lit(1)).alias("n"))
-            same, left = smaller.metrics["n"] == left.metrics["n"], smaller
+            same = smaller.metrics["n"] == left.metrics["n"]
+            left.drop()
+            left = smaller
             if same or not left.metrics["n"]:
                 break
-        if not left.metrics["n"] or used >= rounds:
+        if not left.metrics["n"] or used >= most:
             break
         vertices = left.df.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         colours = cut(vertices.select("id", F.col("id").alias("c")))
         stable = False
-        while not stable and used < rounds:
+        while not stable and used < most:
             used += 1
             sent = left.df.join(colours.df.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("d"))
             spread = colours.df.join(sent, "id", "left").select("id", F.greatest("c", F.coalesce("d", "c")).alias("c"), (F.coalesce(F.col("d") > F.col("c"), F.lit(False))).cast("int").alias("moved"))
-            colours = cut(spread, F.sum("moved").alias("moved"))
+            after = cut(spread, F.sum("moved").alias("moved"))
+            colours.drop()
+            colours = after
             stable = not colours.metrics["moved"]
             colours.df = colours.df.select("id", "c")
         if not stable:
             break
-        same_colour = cut(left.df.join(colours.df.toDF("src", "cs"), "src").join(colours.df.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c"))).df
+        same_colour = cut(left.df.join(colours.df.toDF("src", "cs"), "src").join(colours.df.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
         back = cut(colours.df.where("id = c"), F.count(F.lit(1)).alias("n"))
-        while used < rounds:
+        while used < most:
             used += 1
-            more = same_colour.join(back.df.select(F.col("id").alias("dst"), "c"), ["dst", "c"], "left_semi").select(F.col("src").alias("id"), "c")
+            more = same_colour.df.join(back.df.select(F.col("id").alias("dst"), "c"), ["dst", "c"], "left_semi").select(F.col("src").alias("id"), "c")
             grown = cut(back.df.unionByName(more).distinct(), F.count(F.lit(1)).alias("n"))
-            same, back = grown.metrics["n"] == back.metrics["n"], grown
+            same = grown.metrics["n"] == back.metrics["n"]
+            back.drop()
+            back = grown
             if same:
                 break
         else:
             break
+        for spent in (same_colour, colours):
+            spent.drop()
         found.append(back.df)
-        left = cut(left.df.join(back.df.select(F.col("id").alias("src")), "src", "left_anti").join(back.df.select(F.col("id").alias("dst")), "dst", "left_anti"), F.count(F.lit(1)).alias("n"))
-    parts = spark.createDataFrame([], edges.select(F.col("src").alias("id"), F.col("src").alias("c")).schema)
+        rest = cut(left.df.join(back.df.select(F.col("id").alias("src")), "src", "left_anti").join(back.df.select(F.col("id").alias("dst")), "dst", "left_anti"), F.count(F.lit(1)).alias("n"))
+        left.drop()
+        left = rest
+    parts = edges.sparkSession.createDataFrame([], edges.select(F.col("src").alias("id"), F.col("src").alias("c")).schema)
     for part in found:
         parts = parts.unionByName(part)
-    if left.metrics["n"]:
-        parts = parts.unionByName(_remainder(left.df))
-    groups = parts.groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    cyclic = parts.join(groups, "c").select("id", "component")
-    return cyclic.unionByName(done.join(cyclic.select("id"), "id", "left_anti"))
-
-
-def _remainder(edges: DataFrame) -> DataFrame:
-    """(id, c) of strong components, one task per weakly connected component of what trimming left."""
-    labels = weak_components(edges)
-    placed = edges.join(labels.select(F.col("id").alias("src"), "group_no"), "src").select("src", "dst", "group_no")
-    kind = edges.schema["src"].dataType.simpleString()
-    return placed.groupBy("group_no").applyInPandas(_components_of, f"id {kind}, c {kind}")
+    return parts, left.df if left.metrics["n"] else None
 
 
 def _components_of(frame: pd.DataFrame) -> pd.DataFrame:
@@ -203,5 +218,18 @@ def weak_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def cycles(components: DataFrame) -> DataFrame:
-    """(component, node_ids): sorted members of each cycle; its rows are as wide as its cycles."""
+    """(component, node_ids): sorted members of each cycle, for cycles small enough to be shown as one row."""
     return components.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("node_ids"))
+
+
+def cycle_marks(components: DataFrame) -> DataFrame:
+    """(component, n, mark): size of each cycle and 128 bits that tell its members, so a cycle is compared as a set
+    without ever being gathered."""
+    mark = F.struct(F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64(F.lit(7), "id")))
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("n"), mark.alias("mark"))
+
+
+def introduced_cycles(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(component, n, introduced): cycles of ``now``; introduced where ``before`` has none of the same members."""
+    old = cycle_marks(before).select("component", "n", "mark")
+    return introduced(cycle_marks(now), old, ["component", "n", "mark"]).select("component", "n", "introduced")

@@ -1,7 +1,8 @@
 """Graph queries on the part-succession graph.
 
 A node is a part, with path brand/type/key; an edge leads from a line's part to the next one's in the same
-order, for lines of at least a quantity. An edge belongs to the base revision if it was first seen before 2000.
+order, of all lines. The change is what was shipped in the last days: an edge first seen then is new, all others
+belong to the base revision.
 """
 
 from __future__ import annotations
@@ -11,12 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
-from ripplefold.functions.text import component_key, edge_key
+from ripplefold.functions.text import edge_key
 from ripplefold.operators import blast, evidence, graph
 from ripplefold.sources import sinks
 from ripplefold.sources.tables import table
 
-QUANTITY = 49
 RULES = (
     ("deny Brand#1*/** -> Brand#2*/**", "Brand#1*/**", "Brand#2*/**"),
     ("deny **/ECONOMY*/** -> **/PROMO*/**", "**/ECONOMY*/**", "**/PROMO*/**"),
@@ -28,11 +28,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string")).alias("id"))
 
 
-def edges(spark: SparkSession, d: str, quantity: int = QUANTITY) -> DataFrame:
+def edges(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, specifier, first_seen, ord): each edge once."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    steps = lines.withColumn("next", F.lead("l_partkey").over(order)).where((F.col("l_quantity") >= quantity) & F.col("next").isNotNull())
+    steps = lines.withColumn("next", F.lead("l_partkey").over(order)).where(F.col("next").isNotNull())
     named = nodes(spark, d)
     a, b = named.toDF("l_partkey", "src"), named.toDF("next", "dst")
     spec = F.concat_ws(":", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"))
@@ -40,7 +40,8 @@ def edges(spark: SparkSession, d: str, quantity: int = QUANTITY) -> DataFrame:
     return raw.groupBy("src", "dst").agg(F.min("specifier").alias("specifier"), F.min("l_shipdate").alias("first_seen"), F.min("l_partkey").alias("ord"))
 
 
-BASE = "first_seen < timestamp '2000-01-01'"
+CHANGED_SINCE = "2001-11-01"
+BASE = f"first_seen < timestamp '{CHANGED_SINCE}'"
 NEW = f"not ({BASE})"
 
 SQL_EDGES = f"""
@@ -49,8 +50,8 @@ steps AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_lin
 edges AS (
   SELECT a.id AS src, b.id AS dst, min(lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || ':' || l_linenumber) AS specifier,
          min(l_shipdate) AS first_seen, min(l_partkey) AS ord
-  FROM steps JOIN nodes a ON l_partkey = a.p_partkey JOIN nodes b ON nxt = b.p_partkey WHERE l_quantity >= {QUANTITY} GROUP BY 1, 2),
-base AS (SELECT * FROM edges WHERE first_seen < TIMESTAMP '2000-01-01')
+  FROM steps JOIN nodes a ON l_partkey = a.p_partkey JOIN nodes b ON nxt = b.p_partkey GROUP BY 1, 2),
+base AS (SELECT * FROM edges WHERE first_seen < TIMESTAMP '{CHANGED_SINCE}')
 """
 
 
@@ -92,9 +93,12 @@ def d8_instability_deltas(spark, d):
 
 
 def j4_base_graph(spark, d):
+    """The graph before the change as a delta on the one after it; touched parts of every fifth key were renamed by it."""
     e = cut(edges(spark, d)).df
-    changed = e.where(NEW).select(F.col("src").alias("path"), F.lit(None).cast("string").alias("previous_path")).distinct()
-    earlier = e.where(BASE).join(changed.select(F.col("path").alias("src")), "src", "left_semi")
+    renamed = F.substring_index("src", "/", -1).cast("long") % 5 == 0
+    old = F.when(renamed, F.concat("src", F.lit(".old")))
+    changed = e.where(NEW).select(F.col("src").alias("path"), old.alias("previous_path")).distinct()
+    earlier = e.where(BASE).join(changed.select(F.col("path").alias("src")), "src", "left_semi").select(F.coalesce(old, F.col("src")).alias("src"), "dst", "specifier")
     return graph.base_edges(e, changed, earlier)
 
 
@@ -104,19 +108,19 @@ def j3_cycles(spark, d):
 
 def j5_introduced_cycles(spark, d):
     e = cut(edges(spark, d)).df
-    now, was = graph.cycles(graph.strong_components(e)), graph.cycles(graph.strong_components(e.where(BASE)))
-    keyed = now.withColumn("key", component_key(F.col("node_ids")))
-    return graph.introduced(keyed, was.select(component_key(F.col("node_ids")).alias("key")), ["key"]).select("key", F.size("node_ids").cast("long").alias("n"), "introduced")
+    return graph.introduced_cycles(cut(graph.strong_components(e)).df, cut(graph.strong_components(e.where(BASE))).df)
 
 
 CLOSURE = """
-{name}_reach AS (SELECT src, dst FROM {source} UNION SELECT r.src, e.dst FROM {name}_reach r JOIN {source} e ON r.dst = e.src),
-{name} AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM {name}_reach a JOIN {name}_reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+{name}_k AS (SELECT DISTINCT CAST(split_part(src, '/', 3) AS INTEGER) AS s, CAST(split_part(dst, '/', 3) AS INTEGER) AS t FROM {source}),
+{name}_reach AS (SELECT s, t FROM {name}_k UNION SELECT r.s, e.t FROM {name}_reach r JOIN {name}_k e ON r.t = e.s),
+{name} AS (SELECT n.id, least(n.id, min(m.id)) AS component FROM {name}_reach a JOIN {name}_reach b ON a.s = b.t AND a.t = b.s JOIN nodes n ON n.p_partkey = a.s JOIN nodes m ON m.p_partkey = a.t GROUP BY n.id)
 """
 
 
 def d16_dependants(spark, d):
-    return edges(spark, d).groupBy(F.col("dst").alias("module")).agg(F.array_sort(F.collect_set("src")).alias("dependants"))
+    """Every module's dependants in order of their edges, as rows."""
+    return evidence.numbered(edges(spark, d).select(F.col("dst").alias("module"), F.col("src").alias("dependant"), "ord"), ["module"], [F.asc("ord"), F.asc("dependant")], "place").select("module", "dependant", F.col("place").cast("long").alias("place"))
 
 
 def _changed(e: DataFrame) -> DataFrame:
@@ -125,15 +129,16 @@ def _changed(e: DataFrame) -> DataFrame:
 
 
 def _sites(spark, d) -> DataFrame:
+    """Sites with their fan-in; vertices are nodes, so an end's edges are all its fan-in."""
     e = cut(edges(spark, d)).df
     sites, _ = blast.blast_radius(e, _changed(e), 3, None)
-    return cut(blast.with_fan_in(sites, graph.coupling(nodes(spark, d), e))).df
+    return blast.with_fan_in(sites, e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("fan_in")))
 
 
 def j6_impact_blast_radius(spark, d):
     """Every module within three hops of the change, credited to one origin, weighted and numbered per brand."""
     sites = _sites(spark, d).withColumn("change", F.substring_index("origin", "/", 1)).withColumn("weight", evidence.site_weight(F.col("hops"), F.col("module_fan_in")))
-    ranked = evidence.ordinals(sites.withColumn("seq", F.struct("hops", F.negative("module_fan_in"), "path")), ["change"])
+    ranked = evidence.ordinals(sites.withColumn("seq", F.struct("hops", F.negative("module_fan_in"), "path")), ["change"], spread=True)
     return ranked.select("change", "symbol_id", "hops", "origin", "via", "module_fan_in", F.col("weight").cast("long").alias("weight"), F.col("ordinal").cast("int").alias("ordinal"), "evidence_id")
 
 
@@ -141,7 +146,7 @@ _LEVEL = """
 l{k} AS (SELECT src AS id, arg_min(p.origin, list_append(p.path, e.ord)) AS origin, arg_min(p.id, list_append(p.path, e.ord)) AS via, min(list_append(p.path, e.ord)) AS path, {k} AS hops
        FROM l{j} p JOIN edges e ON e.dst = p.id WHERE src NOT IN ({seen}) GROUP BY src)"""
 SQL_SITES = (
-    "l0 AS (SELECT dst AS id, dst AS origin, NULL::VARCHAR AS via, [CAST(split_part(dst, '/', 3) AS BIGINT)] AS path, 0 AS hops FROM edges WHERE first_seen >= TIMESTAMP '2000-01-01' GROUP BY dst),"
+    f"l0 AS (SELECT dst AS id, dst AS origin, NULL::VARCHAR AS via, [CAST(split_part(dst, '/', 3) AS BIGINT)] AS path, 0 AS hops FROM edges WHERE first_seen >= TIMESTAMP '{CHANGED_SINCE}' GROUP BY dst),"
     + ",".join(_LEVEL.format(k=k, j=k - 1, seen=" UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(k))) for k in (1, 2, 3))
     + ", sites AS (SELECT s.id AS symbol_id, CAST(s.hops AS INTEGER) AS hops, s.origin, s.via, s.path, CAST(c.fan_in AS INTEGER) AS module_fan_in FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) s JOIN coupling c ON c.id = s.id)"
 )
@@ -154,7 +159,8 @@ def j6_stats(spark, d):
 
 
 def e17_sites_by_origin(spark, d):
-    return _sites(spark, d).groupBy("origin", "hops").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("symbol_id")).alias("symbols"))
+    """Sites grouped by origin and hop: how many, and the first and last of them by id."""
+    return _sites(spark, d).groupBy("origin", "hops").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first"), F.max("symbol_id").alias("last"))
 
 
 def j7_module_walk(spark, d):
@@ -165,15 +171,15 @@ def j7_module_walk(spark, d):
 
 
 def b6_shown_sites(spark, d):
-    return sinks.shown_sites(_sites(spark, d)).select("origin", "symbol_id", "hops", F.col("r").cast("int").alias("r"), F.col("more").cast("long").alias("more"))
+    return sinks.shown_sites(cut(_sites(spark, d)).df).select("origin", "symbol_id", "hops", F.col("r").cast("int").alias("r"), F.col("more").cast("long").alias("more"))
 
 
 def b10_hop_columns(spark, d):
-    return sinks.hop_columns(_sites(spark, d)).select("hops", "symbol_id", F.col("r").cast("int").alias("r"), F.col("overflow").cast("long").alias("overflow"))
+    return sinks.hop_columns(cut(_sites(spark, d)).df).select("hops", "symbol_id", F.col("r").cast("int").alias("r"), F.col("overflow").cast("long").alias("overflow"))
 
 
 def d15_drawn_edges(spark, d):
-    sites = _sites(spark, d)
+    sites = cut(_sites(spark, d)).df
     return sinks.drawn_edges(sites, sinks.hop_columns(sites))
 
 
@@ -193,20 +199,15 @@ def evidence_items(spark, d, cycles: DataFrame) -> DataFrame:
 
 def weighted_cycles(e: DataFrame) -> DataFrame:
     """(component, id, weight) of vertices on cycles; cycles that the base revision did not have weigh as introduced."""
-    now = cut(graph.strong_components(e)).df
-    keyed, was = (graph.cycles(x).select(F.array_min("node_ids").alias("component"), component_key(F.col("node_ids")).alias("key")) for x in (now, graph.strong_components(e.where(BASE))))
-    flags = graph.introduced(keyed, was, ["key"]).select("component", evidence.cycle_weight(F.col("introduced")).alias("weight"))
+    now, was = (cut(graph.strong_components(x)).df for x in (e, e.where(BASE)))
+    flags = graph.introduced_cycles(now, was).select("component", evidence.cycle_weight(F.col("introduced")).alias("weight"))
     return now.join(flags, "component").select("component", "id", "weight")
 
 
 def c10_evidence(spark, d):
-    """Violations, cycles and instability as one list of evidence with weights, numbered together per change brand.
-
-    As in its SQL, every cycle weighs as an existing one; ``j9_impact_evidence`` tells introduced cycles apart.
-    """
-    cycles = graph.strong_components(edges(spark, d)).withColumn("weight", F.lit(evidence.WEIGHTS["cycle"]))
-    items = evidence_items(spark, d, cycles).withColumn("seq", F.struct("built", "module", "summary"))
-    return evidence.ordinals(items, ["change"]).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"), F.col("ordinal").cast("int").alias("ordinal"))
+    """Violations, cycles and instability as one list of evidence with weights, numbered together per change brand."""
+    items = evidence_items(spark, d, weighted_cycles(cut(edges(spark, d)).df)).withColumn("seq", F.struct("built", "module", "summary"))
+    return evidence.ordinals(items, ["change"], spread=True).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"), F.col("ordinal").cast("int").alias("ordinal"))
 
 
 _DELTAS = f"""
@@ -214,33 +215,34 @@ _DELTAS = f"""
 was AS (SELECT c.* FROM ({_coupling_sql('x', 'base').replace('x AS (', '', 1)[:-1]}) c WHERE id IN (SELECT src FROM base UNION ALL SELECT dst FROM base)),
 deltas AS (SELECT n.id AS module, w.fan_out AS out_before, w.instability AS before, n.fan_out AS out_after, n.instability AS after
   FROM now n LEFT JOIN was w USING (id)
-  WHERE n.id IN (SELECT src FROM edges WHERE first_seen >= TIMESTAMP '2000-01-01') AND (w.id IS NULL OR (w.fan_in, w.fan_out) <> (n.fan_in, n.fan_out)))"""
-_VIOLATIONS = """
+  WHERE n.id IN (SELECT src FROM edges WHERE first_seen >= TIMESTAMP '{CHANGED_SINCE}') AND (w.id IS NULL OR (w.fan_in, w.fan_out) <> (n.fan_in, n.fan_out)))"""
+_VIOLATIONS = f"""
 broken AS (
   SELECT 'deny Brand#1*/** -> Brand#2*/**' AS rule, * FROM edges WHERE regexp_matches(src, '^Brand#1[^/]*/.*$') AND regexp_matches(dst, '^Brand#2[^/]*/.*$')
   UNION ALL SELECT 'deny **/ECONOMY*/** -> **/PROMO*/**', * FROM edges WHERE regexp_matches(src, '^(?:.*/)?ECONOMY[^/]*/.*$') AND regexp_matches(dst, '^(?:.*/)?PROMO[^/]*/.*$')
   UNION ALL SELECT 'deny Brand#3?/**/*1 -> Brand#4?/**', * FROM edges WHERE regexp_matches(src, '^Brand#3[^/]/(?:.*/)?[^/]*1$') AND regexp_matches(dst, '^Brand#4[^/]/.*$')),
-violations AS (SELECT rule, src AS from_module, dst AS to_module, specifier, first_seen >= TIMESTAMP '2000-01-01' AS introduced FROM broken)"""
+violations AS (SELECT rule, src AS from_module, dst AS to_module, specifier, first_seen >= TIMESTAMP '{CHANGED_SINCE}' AS introduced FROM broken)"""
 
 QUERIES = {f.__name__: f for f in (j6_impact_blast_radius, j6_stats, e1_coupling, e2_first_edges, d5_violations, d6_introduced_edges, d8_instability_deltas, d15_drawn_edges, d16_dependants, e17_sites_by_origin, j3_cycles, j4_base_graph, j5_introduced_cycles, j7_module_walk, b6_shown_sites, b10_hop_columns, c10_evidence, d10_via_names)}
 
 SQL = {
     "e1_coupling": f"WITH {SQL_EDGES}, {_coupling_sql('coupling', 'edges')} SELECT * FROM coupling",
     "e2_first_edges": f"WITH {SQL_EDGES} SELECT src, dst, specifier FROM edges",
-    "d6_introduced_edges": f"WITH {SQL_EDGES} SELECT src || ' -> ' || dst AS edge, first_seen >= TIMESTAMP '2000-01-01' AS introduced FROM edges",
+    "d6_introduced_edges": f"WITH {SQL_EDGES} SELECT src || ' -> ' || dst AS edge, first_seen >= TIMESTAMP '{CHANGED_SINCE}' AS introduced FROM edges",
     "d5_violations": f"WITH {SQL_EDGES}, {_VIOLATIONS} SELECT * FROM violations",
     "d8_instability_deltas": f"WITH {SQL_EDGES}, {_DELTAS} SELECT * FROM deltas",
-    "j4_base_graph": f"WITH {SQL_EDGES} SELECT src, dst, specifier FROM base",
+    "j4_base_graph": f"""WITH {SQL_EDGES} SELECT CASE WHEN src IN (SELECT src FROM edges WHERE first_seen >= TIMESTAMP '{CHANGED_SINCE}') AND CAST(split_part(src, '/', 3) AS BIGINT) % 5 = 0 THEN src || '.old' ELSE src END AS src,
+        dst, specifier FROM base""",
     "j3_cycles": f"WITH RECURSIVE {SQL_EDGES}, {CLOSURE.format(name='scc', source='edges')} SELECT id, component FROM scc",
     "j5_introduced_cycles": f"""WITH RECURSIVE {SQL_EDGES}, {CLOSURE.format(name='scc', source='edges')}, {CLOSURE.format(name='old', source='base')},
-        k AS (SELECT string_agg(id, '|' ORDER BY id) AS key, count(*) AS n FROM scc GROUP BY component), o AS (SELECT string_agg(id, '|' ORDER BY id) AS key FROM old GROUP BY component)
-        SELECT key, n, key NOT IN (SELECT key FROM o) AS introduced FROM k""",
-    "d16_dependants": f"WITH {SQL_EDGES} SELECT dst AS module, list_sort(list(DISTINCT src)) AS dependants FROM edges GROUP BY dst",
+        k AS (SELECT component, string_agg(id, '|' ORDER BY id) AS key, count(*) AS n FROM scc GROUP BY component), o AS (SELECT string_agg(id, '|' ORDER BY id) AS key FROM old GROUP BY component)
+        SELECT component, n, key NOT IN (SELECT key FROM o) AS introduced FROM k""",
+    "d16_dependants": f"WITH {SQL_EDGES} SELECT dst AS module, src AS dependant, row_number() OVER (PARTITION BY dst ORDER BY ord, src) AS place FROM edges",
     "j6_impact_blast_radius": _WITH_SITES + """, w AS (SELECT split_part(origin, '/', 1) AS change, *, CAST(greatest(1, 800 - 100 * hops + least(module_fan_in, 50)) AS BIGINT) AS weight FROM sites),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY change ORDER BY weight DESC, hops, module_fan_in DESC, path) AS INTEGER) AS ordinal FROM w)
         SELECT change, symbol_id, hops, origin, via, module_fan_in, weight, ordinal, 'E' || ordinal AS evidence_id FROM r""",
     "j6_stats": _WITH_SITES + " SELECT count(*) AS sites, count(DISTINCT origin) AS origins, CAST(max(hops) AS INTEGER) AS farthest, CAST(sum(module_fan_in) AS BIGINT) AS fan_in FROM sites",
-    "e17_sites_by_origin": _WITH_SITES + " SELECT origin, hops, count(*) AS n, list_sort(list(symbol_id)) AS symbols FROM sites GROUP BY origin, hops",
+    "e17_sites_by_origin": _WITH_SITES + " SELECT origin, hops, count(*) AS n, min(symbol_id) AS first, max(symbol_id) AS last FROM sites GROUP BY origin, hops",
     "b6_shown_sites": _WITH_SITES + """ SELECT origin, symbol_id, hops, CAST(r AS INTEGER) AS r, CAST(greatest(n - 8, 0) AS BIGINT) AS more FROM (
         SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hops, symbol_id) AS r, count(*) OVER (PARTITION BY origin) AS n FROM sites) WHERE r <= 8""",
     "b10_hop_columns": _WITH_SITES + """ SELECT hops, symbol_id, CAST(r AS INTEGER) AS r, CAST(greatest(n - 10, 0) AS BIGINT) AS overflow FROM (
@@ -251,9 +253,10 @@ SQL = {
     "j7_module_walk": f"""WITH {SQL_EDGES}, l0 AS (SELECT dst AS id, dst AS origin, [CAST(1 AS BIGINT)] AS path FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),"""
     + ",".join(_LEVEL.format(k=k, j=k - 1, seen=" UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(k))) for k in (1, 2, 3))
     + " SELECT id AS symbol_id, CAST(hops AS INTEGER) AS hops, via FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) ORDER BY hops, path LIMIT 25",
-    "c10_evidence": f"""WITH RECURSIVE {SQL_EDGES}, {_VIOLATIONS}, {_DELTAS}, {CLOSURE.format(name='scc', source='edges')}, items AS (
+    "c10_evidence": f"""WITH RECURSIVE {SQL_EDGES}, {_VIOLATIONS}, {_DELTAS}, {CLOSURE.format(name='scc', source='edges')}, {CLOSURE.format(name='old', source='base')},
+        k AS (SELECT component, string_agg(id, '|' ORDER BY id) AS key FROM scc GROUP BY component), o AS (SELECT string_agg(id, '|' ORDER BY id) AS key FROM old GROUP BY component), items AS (
         SELECT 1 AS built, 'layer-violation' AS kind, from_module AS module, rule || ' ' || from_module || ' -> ' || to_module AS summary, CASE WHEN introduced THEN 950 ELSE 300 END AS weight FROM violations
-        UNION ALL SELECT 0, 'cycle', component, id, 250 FROM scc
+        UNION ALL SELECT 0, 'cycle', component, id, CASE WHEN key IN (SELECT key FROM o) THEN 250 ELSE 1000 END FROM scc JOIN k USING (component)
         UNION ALL SELECT 3, 'instability', module, module || CASE WHEN before IS NULL THEN ' is new with instability ' ELSE ' instability ' || printf('%.2f', floor(before * 100 + 0.5) / 100) || ' -> ' END || printf('%.2f', floor(after * 100 + 0.5) / 100), 200 FROM deltas)
         SELECT split_part(module, '/', 1) AS change, kind, summary, weight, CAST(row_number() OVER (PARTITION BY split_part(module, '/', 1) ORDER BY weight DESC, built, module, summary) AS INTEGER) AS ordinal FROM items""",
 }

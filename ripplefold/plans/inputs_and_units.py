@@ -75,7 +75,7 @@ def j1_module_graph(spark, d):
 def _diffs(spark, d):
     """A diff per unit: it adds the unit's lines to a file, after one context line and one removed line."""
     u = _units(spark, d, "unit_no", "file", "line", "end_line").withColumn("path", text.plain_slashes(F.col("file"))).where("line is not null")
-    n = F.least(F.greatest(F.coalesce("end_line", "line") - F.col("line") + 1, F.lit(1)), F.lit(40))
+    n = F.greatest(F.coalesce("end_line", "line") - F.col("line") + 1, F.lit(1))
     body = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("+added "), i.cast("string"))), "\n")
     new = F.col("unit_no") % 3 == 0
     head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n"), F.when(new, "new file mode 100644\n").otherwise("index 1..2 100644\n"))
@@ -253,7 +253,7 @@ _ENDS = "['', '.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '/in
 _RES = f"""{_IMP}, b AS (SELECT *, {_JOIN} AS base FROM imp WHERE starts_with(specifier, '.')),
   t AS (SELECT b.repo, b.path, ord, specifier, arg_min(s.path, i) AS target FROM (SELECT b.*, i, base || ({_ENDS})[i] AS want FROM b, unnest(range(1, 18)) AS x(i)) b JOIN src s ON s.repo = b.repo AND s.path = want GROUP BY 1, 2, 3, 4),
   res AS (SELECT imp.*, target FROM imp LEFT JOIN t USING (repo, path, ord, specifier))"""
-_D = f"""{_U}, dd AS (SELECT unit_no, {_PLAIN} AS path, line, least(greatest(coalesce(end_line, line) - line + 1, 1), 40) AS n FROM u WHERE line IS NOT NULL)"""
+_D = f"""{_U}, dd AS (SELECT unit_no, {_PLAIN} AS path, line, greatest(coalesce(end_line, line) - line + 1, 1) AS n FROM u WHERE line IS NOT NULL)"""
 _LONG = f"""{_U}, lu AS (SELECT unit_no AS unit, any_value(tokens) AS t FROM u WHERE len(tokens) >= 40 GROUP BY 1),
   gr AS (SELECT unit, array_to_string(t[i:i + 4], ' ') AS g FROM lu, unnest(range(1, len(t) - 3)) AS r(i)),
   fp AS (SELECT unit, CAST(CAST('0x' || substr(sha1(g), 1, 8) AS BIGINT) % 256 AS INTEGER) AS bucket, CAST(sum(CASE WHEN CAST('0x' || substr(sha1(g), 9, 2) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS w

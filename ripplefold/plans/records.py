@@ -175,13 +175,13 @@ def a20_echo(spark, d):
     return inputs.echo_answers(prompts, "run_id").select("run_id", "refs", "file", "input_tokens")
 
 
-# Evaluation: grave, sure findings of grounded runs are the truth, findings of other runs of the repository are judged.
+# Evaluation: grave, grounded findings are the truth, and each is judged by the other findings of its repository.
 
 
 def _cases(spark, d):
     runs = unique(spark, d, "runs", "id", "repo_root", "graph_grounded", "model").select(F.col("id").alias("run_id"), F.element_at(F.split("repo_root", "/"), -1).alias("case"), F.coalesce("graph_grounded", F.lit(False)).alias("arm"), F.col("model").alias("model"))
-    f = _findings(spark, d, "id", "run_id", "severity", "category", "file", "line", "confidence", "grounded").join(runs, "run_id")
-    truth = f.where("confidence >= 0.905 and severity in ('critical', 'high') and grounded and category is not null")
+    f = _findings(spark, d, "id", "run_id", "severity", "category", "file", "line", "grounded").join(runs, "run_id")
+    truth = f.where("severity in ('critical', 'high') and grounded and category is not null")
     defects = truth.select("case", F.col("id").alias("defect_no"), "file", "line", F.when(F.col("line") == 0, 1000).otherwise(6).alias("line_tolerance"), F.array("category").alias("accept_categories"))
     return f.withColumnRenamed("id", "finding_no"), defects
 
@@ -239,23 +239,43 @@ def e11_structural_recall(spark, d):
     return rows.groupBy("case").agg(F.when(some > 0, F.floor(F.count(F.when(F.col("structural") & F.col("hit").isNotNull(), 1)) * 1e6 / some + 0.5)).cast("long").alias("recall_millionths"))
 
 
-def _spreads(spark, d):
-    rated = _rated(spark, d)
-    return rated.groupBy("arm").agg(evaluate.spread(F.col("f1")).alias("s"))
+MEASURES = ("precision", "recall", "f1", "structural_recall", "prompt_tokens", "latency_ms")
+
+
+def _measured(spark, d):
+    """(case, arm, model, the six measures): rates of each scored run, the recall of structural defects of its case
+    (null without any), and the tokens and time of its model calls."""
+    runs = unique(spark, d, "runs", "id", "repo_root", "graph_grounded", "model", "prompt_tokens", "llm_latency_ms").where("prompt_tokens > 0 and llm_latency_ms > 0")
+    keys = [F.element_at(F.split("repo_root", "/"), -1).alias("_case"), F.coalesce("graph_grounded", F.lit(False)).alias("_arm"), F.col("model").alias("_model")]
+    used = runs.groupBy(*keys).agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("llm_latency_ms").alias("latency_ms"))
+    same = (F.col("case") == F.col("_case")) & (F.col("arm") == F.col("_arm")) & F.col("model").eqNullSafe(F.col("_model"))
+    structural = e11_structural_recall(spark, d).select("case", (F.col("recall_millionths") / 1e6).alias("structural_recall"))
+    return _rated(spark, d).join(used, same, "left").join(structural, "case", "left").select("case", "arm", "model", *MEASURES)
+
+
+def _failures(spark, d):
+    """Whether each run failed outright: its tokens were never counted."""
+    return unique(spark, d, "runs", "id", "repo_root", "graph_grounded", "prompt_tokens").select(F.element_at(F.split("repo_root", "/"), -1).alias("case"), F.coalesce("graph_grounded", F.lit(False)).alias("arm"), F.coalesce(F.col("prompt_tokens") == -1, F.lit(False)).cast("int").alias("failed"))
 
 
 def e13_arm_summary(spark, d):
-    """Mean and deviation of f1 per arm of each case and per arm overall."""
-    both = _rated(spark, d).groupingSets([["case", "arm"], ["arm"]], "case", "arm").agg(evaluate.spread(F.col("f1")).alias("s"))
-    whole = lambda c: F.floor(F.col(f"s.{c}") * 1e6 + 0.5).cast("long").alias(c)
-    return both.select("case", "arm", whole("mean"), whole("stdev"), whole("min"), whole("max"), F.col("s.n").alias("n"))
+    """The spread of each of six measures per arm of each case and per arm overall, in hundredths, with the runs that failed."""
+    sets = [["case", "arm"], ["arm"]]
+    both = _measured(spark, d).groupingSets(sets, "case", "arm").agg(*(evaluate.spread(F.col(m)).alias(m) for m in MEASURES))
+    failed = _failures(spark, d).groupingSets(sets, "case", "arm").agg(F.sum("failed").alias("failures")).toDF("_case", "_arm", "failures")
+    joined = both.join(failed, F.col("case").eqNullSafe(F.col("_case")) & (F.col("arm") == F.col("_arm")), "left")
+    long = joined.select("case", "arm", F.coalesce("failures", F.lit(0)).alias("failures"), F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("s")) for m in MEASURES))))
+    return long.select("case", "arm", "measure", "failures", *(_hundredths(F.col(f"s.{c}")).alias(c) for c in ("mean", "stdev", "min", "max")), F.col("s.n").alias("n"))
 
 
 def e15_verdict(spark, d):
-    """Whether the two arms differ by more than their deviations."""
-    pivot = _spreads(spark, d).groupBy().pivot("arm", [True, False]).agg(F.first("s"))
+    """Whether the two arms of each case differ by more than their deviations, and the word for it."""
+    f1 = _rated(spark, d).groupBy("case", "arm").agg(evaluate.spread(F.col("f1")).alias("s"))
+    pivot = f1.groupBy("case").pivot("arm", [True, False]).agg(F.first("s"))
+    failures = _failures(spark, d).groupBy("case").agg(F.sum("failed").alias("failures"))
     args = (F.col("true.mean"), F.col("true.stdev"), F.col("false.mean"), F.col("false.stdev"))
-    return pivot.select(evaluate.separated(*args).alias("separated"), evaluate.verdict(*args, F.lit(0)).alias("verdict"))
+    told = pivot.where(F.col("true").isNotNull() & F.col("false").isNotNull()).join(failures, "case", "left")
+    return told.select("case", evaluate.separated(*args).alias("separated"), evaluate.verdict(*args, F.coalesce("failures", F.lit(0))).alias("verdict"))
 
 
 # Queue
@@ -323,7 +343,7 @@ _JUDGED = """g AS (SELECT f.id, coalesce(evidence_refs, []) AS refs, CASE WHEN f
   judged AS (SELECT id, unknown, CASE WHEN len(unknown) > 0 THEN 'unknown-evidence' WHEN n = 0 THEN 'no-evidence' END AS reason FROM jd)"""
 _CASES = """c AS (SELECT f.*, list_last(string_split(repo_root, '/')) AS "case", coalesce(graph_grounded, false) AS arm, model FROM f JOIN r ON r.id = run_id),
   df AS (SELECT "case", id AS defect_no, replace(file, chr(92), '/') AS file, line, CASE WHEN line = 0 THEN 1000 ELSE 6 END AS tol, category FROM c
-    WHERE confidence >= 0.905 AND severity IN ('critical', 'high') AND grounded AND category IS NOT NULL),
+    WHERE severity IN ('critical', 'high') AND grounded AND category IS NOT NULL),
   m AS (SELECT c."case", c.id AS finding_no, defect_no FROM c JOIN df ON c."case" = df."case" AND regexp_replace(replace(c.file, chr(92), '/'), '^\\./', '') = regexp_replace(df.file, '^\\./', '') AND c.category = df.category
     AND CASE WHEN c.line = 0 THEN tol >= 1000 ELSE abs(c.line - df.line) <= tol END)"""
 _SCORED = """k AS (SELECT c."case", c.arm, c.model, count(DISTINCT c.id) AS n, count(DISTINCT m.defect_no) AS caught, count(DISTINCT m.finding_no) AS rt
@@ -331,6 +351,9 @@ _SCORED = """k AS (SELECT c."case", c.arm, c.model, count(DISTINCT c.id) AS n, c
   sc AS (SELECT k."case", arm, model, caught, n - rt AS false_positives, greatest(coalesce(a, 0) - caught, 0) AS missed FROM k LEFT JOIN (SELECT "case", count(*) AS a FROM df GROUP BY 1) USING ("case")),
   rt AS (SELECT *, CASE WHEN caught + false_positives = 0 THEN 1.0 ELSE CAST(caught AS DOUBLE) / (caught + false_positives) END AS precision, CASE WHEN caught + missed = 0 THEN 1.0 ELSE CAST(caught AS DOUBLE) / (caught + missed) END AS recall FROM sc),
   ra AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM rt)"""
+_STRUCTURAL = """h0 AS (SELECT *, category IN ('cross-module-regression', 'circular-dependency', 'architecture', 'duplicate-logic') AS s, defect_no IN (SELECT defect_no FROM m WHERE finding_no <> defect_no) AS hit FROM df),
+  st AS (SELECT "case", CASE WHEN count(*) FILTER (s) > 0 THEN CAST(floor(count(*) FILTER (s AND hit) * 1e6 / count(*) FILTER (s) + 0.5) AS BIGINT) END AS recall_millionths FROM h0 GROUP BY 1)"""
+_FAILED = """fl AS (SELECT list_last(string_split(repo_root, '/')) AS "case", coalesce(graph_grounded, false) AS arm, CASE WHEN prompt_tokens = -1 THEN 1 ELSE 0 END AS failed FROM r)"""
 _B = "CAST(floor({0} * 1e6 + 0.5) AS BIGINT)"
 
 SQL = {
@@ -369,11 +392,19 @@ SQL = {
     "l3_missed": f"WITH {_F}, {_CASES} SELECT \"case\", defect_no FROM df WHERE defect_no NOT IN (SELECT defect_no FROM m WHERE finding_no <> defect_no)",
     "e9_confusion": f"WITH {_F}, {_CASES}, {_SCORED} SELECT \"case\", arm, model, caught, false_positives, missed FROM sc",
     "e10_rates": f"WITH {_F}, {_CASES}, {_SCORED} SELECT \"case\", arm, model, {_B.format('precision')} AS precision, {_B.format('recall')} AS recall, {_B.format('f1')} AS f1 FROM ra",
-    "e11_structural_recall": f"""WITH {_F}, {_CASES}, h AS (SELECT *, category IN ('cross-module-regression', 'circular-dependency', 'architecture', 'duplicate-logic') AS s, defect_no IN (SELECT defect_no FROM m WHERE finding_no <> defect_no) AS hit FROM df)
-        SELECT "case", CASE WHEN count(*) FILTER (s) > 0 THEN CAST(floor(count(*) FILTER (s AND hit) * 1e6 / count(*) FILTER (s) + 0.5) AS BIGINT) END AS recall_millionths FROM h GROUP BY 1""",
-    "e13_arm_summary": f"WITH {_F}, {_CASES}, {_SCORED} SELECT \"case\", arm, {_B.format('avg(f1)')} AS mean, {_B.format('stddev_pop(f1)')} AS stdev, {_B.format('min(f1)')} AS min, {_B.format('max(f1)')} AS max, count(f1) AS n FROM ra GROUP BY GROUPING SETS ((\"case\", arm), (arm))",
-    "e15_verdict": f"""WITH {_F}, {_CASES}, {_SCORED}, s AS (SELECT avg(f1) FILTER (arm) AS a, stddev_pop(f1) FILTER (arm) AS sa, avg(f1) FILTER (NOT arm) AS b, stddev_pop(f1) FILTER (NOT arm) AS sb FROM ra)
-        SELECT abs(a - b) > sa + sb AS separated, CASE WHEN NOT abs(a - b) > sa + sb THEN 'not separated' WHEN a > b THEN 'first is better' ELSE 'second is better' END AS verdict FROM s""",
+    "e11_structural_recall": f"WITH {_F}, {_CASES}, {_STRUCTURAL} SELECT * FROM st",
+    "e13_arm_summary": f"""WITH {_F}, {_CASES}, {_SCORED}, {_STRUCTURAL}, {_FAILED}, x AS (
+        SELECT ra."case", ra.arm, precision, recall, f1, recall_millionths / 1e6 AS structural_recall, prompt_tokens, latency_ms FROM ra LEFT JOIN st ON st."case" = ra."case"
+        LEFT JOIN (SELECT list_last(string_split(repo_root, '/')) AS c, coalesce(graph_grounded, false) AS g, model AS m, sum(prompt_tokens) AS prompt_tokens, sum(llm_latency_ms) AS latency_ms FROM r
+          WHERE prompt_tokens > 0 AND llm_latency_ms > 0 GROUP BY 1, 2, 3) u ON c = ra."case" AND g = ra.arm AND m IS NOT DISTINCT FROM ra.model),
+        l AS ({" UNION ALL ".join(f'SELECT "case", arm, {chr(39)}{m}{chr(39)} AS measure, CAST({m} AS DOUBLE) AS v FROM x' for m in MEASURES)}),
+        g AS (SELECT "case", arm, measure, coalesce(avg(v), 0) AS mean, coalesce(stddev_pop(v), 0) AS stdev, coalesce(min(v), 0) AS min, coalesce(max(v), 0) AS max, count(v) AS n FROM l GROUP BY GROUPING SETS (("case", arm, measure), (arm, measure))),
+        h AS (SELECT "case", arm, sum(failed) AS failures FROM fl GROUP BY GROUPING SETS (("case", arm), (arm)))
+        SELECT g."case", g.arm, measure, CAST(coalesce(failures, 0) AS BIGINT) AS failures, {", ".join(f"CAST(floor({c} * 100 + 0.5) AS BIGINT) AS {c}" for c in ("mean", "stdev", "min", "max"))}, n
+        FROM g LEFT JOIN h ON g."case" IS NOT DISTINCT FROM h."case" AND g.arm = h.arm""",
+    "e15_verdict": f"""WITH {_F}, {_CASES}, {_SCORED}, {_FAILED}, s AS (SELECT "case", avg(f1) FILTER (arm) AS a, stddev_pop(f1) FILTER (arm) AS sa, avg(f1) FILTER (NOT arm) AS b, stddev_pop(f1) FILTER (NOT arm) AS sb FROM ra GROUP BY 1),
+        t AS (SELECT s.*, coalesce((SELECT sum(failed) FROM fl WHERE fl."case" = s."case"), 0) AS bad FROM s WHERE a IS NOT NULL AND b IS NOT NULL)
+        SELECT "case", abs(a - b) > sa + sb AS separated, CASE WHEN bad > 0 THEN 'incomplete' WHEN NOT abs(a - b) > sa + sb THEN 'not separated' WHEN a > b THEN 'first is better' ELSE 'second is better' END AS verdict FROM t""",
     "k1_enqueued": f"""WITH {_F}, q AS (SELECT id, coalesce(nullif(delivery_id, ''), owner || '/' || repo || '#' || pull_number || '@' || head_sha) AS key, created_at FROM j)
         SELECT arg_min(id, (created_at, id)) AS id, key FROM q GROUP BY key""",
     "k2_superseded": f"""WITH {_F}, q AS (SELECT *, lead(delivery_id) OVER (PARTITION BY owner, repo, pull_number ORDER BY created_at, id) AS nx FROM j)

@@ -60,18 +60,22 @@ def create_tables(spark: SparkSession, schemas: dict[str, str], location: str) -
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{location}/{name}'")
 
 
+def _first_of(sites: DataFrame, by: str, order: list, most: int, more: str) -> DataFrame:
+    """The first ``most`` rows of each ``by`` with their place and the number left out; rows beyond are dropped before
+    the shuffle, and counts come from an aggregate."""
+    first = sites.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("r") <= most)
+    counted = sites.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    return first.join(counted, by).withColumn(more, F.greatest(F.col("_n") - most, F.lit(0))).drop("_n")
+
+
 def shown_sites(sites: DataFrame, most: int = PER_SYMBOL) -> DataFrame:
     """Sites shown per origin, nearest first, with how many more there are."""
-    order = W.partitionBy("origin").orderBy("hops", "symbol_id")
-    total = F.count(F.lit(1)).over(W.partitionBy("origin"))
-    return sites.withColumn("r", F.row_number().over(order)).withColumn("more", F.greatest(total - most, F.lit(0))).where(F.col("r") <= most)
+    return _first_of(sites, "origin", ["hops", "symbol_id"], most, "more")
 
 
 def hop_columns(sites: DataFrame, most: int = PER_HOP) -> DataFrame:
     """Sites drawn per hop, largest fan-in first, with the overflow of the hop."""
-    order = W.partitionBy("hops").orderBy(F.desc("module_fan_in"), "symbol_id")
-    total = F.count(F.lit(1)).over(W.partitionBy("hops"))
-    return sites.withColumn("r", F.row_number().over(order)).withColumn("overflow", F.greatest(total - most, F.lit(0))).where(F.col("r") <= most)
+    return _first_of(sites, "hops", [F.desc("module_fan_in"), "symbol_id"], most, "overflow")
 
 
 def drawn_edges(sites: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from ripplefold.operators import blast, graph
+from ripplefold.operators import blast, evidence, graph
 from ripplefold.plans import graphs, stores
 
 EDGE = "src string, dst string, specifier string, ord long"
@@ -31,6 +31,37 @@ def test_long_chain_closed_at_its_end(spark):
     assert components(spark, chain, rounds=4) == {"n03999": "n03999", "n04000": "n03999"}
 
 
+def test_large_remainders_go_on_in_rounds(spark):
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 24:02d}") for i in range(24)]
+    tail = [("t0", "r00"), ("r05", "u0"), ("u0", "u1"), ("u1", "u0")]
+    truth = {**{f"r{i:02d}": "r00" for i in range(24)}, "u0": "u0", "u1": "u0"}
+    assert components(spark, ring + tail, rounds=3, small=0) == truth == components(spark, ring + tail, rounds=3, small=10)
+
+
+def test_a_chain_of_fifty_thousand_links(spark):
+    chain = [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(50_000)] + [("n50000", "n49999")]
+    assert components(spark, chain, rounds=2) == {"n49999": "n49999", "n50000": "n49999"}
+
+
+def test_introduced_cycles_are_told_as_sets(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id string, component string")
+    now = frame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c"), ("x", "x")])
+    before = frame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")])
+    assert {(r.component, r.n, r.introduced) for r in graph.introduced_cycles(now, before).collect()} == {("a", 2, False), ("c", 3, True), ("x", 1, True)}
+
+
+def test_numbers_of_large_groups_match_a_window(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, w int, i int")
+    got = {r.i: r.place for r in evidence.numbered(df, ["g"], [F.desc("w"), F.asc("i")], "place").collect()}
+    truth, seen = {}, {}
+    for g, w, i in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2])):
+        truth[i] = seen[g] = seen.get(g, 0) + 1
+    assert got == truth
+    assert evidence.numbered(df.limit(0), ["g"], [F.desc("w")], "place").count() == 0
+
+
 def test_random_components_match_reachability(spark):
     rng = random.Random(8)
     pairs = list({(f"v{rng.randrange(30)}", f"v{rng.randrange(30)}") for _ in range(45)})
@@ -121,7 +152,7 @@ def test_references_that_are_uses(spark):
 
 
 def test_introduced_cycles_and_duplicates_are_evidence(spark, tiny_dir):
-    seen = [("a", "b", "1999-01-01"), ("b", "a", "2001-01-01"), ("c", "d", "1998-01-01"), ("d", "c", "1998-01-01")]
+    seen = [("a", "b", "1999-01-01"), ("b", "a", "2001-11-02"), ("c", "d", "1998-01-01"), ("d", "c", "1998-01-01")]
     e = spark.createDataFrame(seen, "src string, dst string, first_seen string").withColumn("first_seen", F.col("first_seen").cast("timestamp"))
     assert {(r.id, r.weight) for r in graphs.weighted_cycles(e).collect()} == {("a", 1000), ("b", 1000), ("c", 250), ("d", 250)}
     rows = stores.j9_impact_evidence(spark, tiny_dir).collect()
