@@ -1,4 +1,4 @@
-"""Functions that scan a string in sequence, as Arrow UDFs: JSON in prose, signatures, token normalisation."""
+"""Functions that scan a string in sequence, as Arrow UDFs: JSON in prose, signatures."""
 
 from __future__ import annotations
 
@@ -144,25 +144,3 @@ def signature_state(body: Column, header: Column, secret: str | None) -> Column:
         return pd.Series([signature_check(b, h, secret) for b, h in zip(bodies, headers)])
 
     return run(body, header)
-
-
-#: The shapes of code tokens in order of trial.
-CODE_TOKENS = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(\d[\w.]*)|([A-Za-z_$][\w$]*)(?=\s*\()|\.([A-Za-z_$][\w$]*)|([A-Za-z_$][\w$]*)|([^\sA-Za-z0-9_$])"""
-
-
-def normal_tokens(code: str | None) -> list[str]:
-    """Tokens of source text with names of calls and properties kept and other names, strings and numbers levelled."""
-    out = []
-    for text, number, call, prop, name, mark in re.findall(CODE_TOKENS, code or ""):
-        out.append("STR" if text else "NUM" if number else f"N:{call or prop}" if call or prop else "ID" if name else mark)
-    return out
-
-
-def normalised_tokens(code: Column) -> Column:
-    """``normal_tokens`` of each row."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(normal_tokens)
-
-    return run(code)

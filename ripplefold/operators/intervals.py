@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplefold.functions.text import is_source_file
+
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """``points(file, line, ...)`` with ``decl``, the innermost range of ``ranges(file, start, end, decl)`` around it.
@@ -37,3 +39,20 @@ def first_symbols(located: DataFrame) -> DataFrame:
     """(symbol_id, file, line, change_kind): each symbol at its first changed line."""
     kind = F.when(F.col("status") == "added", "added").when(F.col("status") == "deleted", "removed").otherwise("modified")
     return located.groupBy("symbol_id").agg(F.min_by(F.struct("file", "line", kind.alias("change_kind")), "line").alias("x")).select("symbol_id", "x.*")
+
+
+def changed_symbols(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(symbol_id, file, line, change_kind): symbols that ``files(file, status, changed)`` change, each at its first line.
+
+    ``ranges(file, start, end, decl)`` are the declarations of the parsed project; a line in none belongs to
+    ``<file>#<module>``. Deleted files and files that are no source have no symbols. A source file that the project
+    does not hold has one row of kind ``unparsed`` without a symbol, so what is missing is told.
+    """
+    source = files.where((F.col("status") != "deleted") & is_source_file(F.col("file")))
+    known = ranges.groupBy("file").agg(F.max("end").alias("n_lines"))
+    sized = source.join(known, "file", "left")
+    lines = attributed_lines(sized.where("n_lines is not null")).distinct()
+    placed = enclosing(lines, ranges).join(source.select("file", "status"), "file")
+    named = placed.withColumn("symbol_id", F.when(F.col("decl") == "<module>", F.concat("file", F.lit("#<module>"))).otherwise(F.col("decl")))
+    missing = sized.where("n_lines is null").select(F.lit(None).cast("string").alias("symbol_id"), "file", F.lit(None).cast("int").alias("line"), F.lit("unparsed").alias("change_kind"))
+    return first_symbols(named).unionByName(missing)

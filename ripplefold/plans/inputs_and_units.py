@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
-from ripplefold.functions import sequential, text
+from ripplefold.functions import code, sequential, text
 from ripplefold.operators import intervals, similarity
 from ripplefold.sources import diffs, inputs, modules
 from ripplefold.sources.tables import table, unique
@@ -154,14 +154,24 @@ def d3_touched_units(spark, d):
 
 
 def e5_first_symbols(spark, d):
-    """Symbols at their first changed line, from all lines of added and the changed lines of other files."""
-    u = _units(spark, d, "unit_no", "repo", "file", "id", "line", "end_line").where("line is not null and end_line is not null and end_line >= line")
+    """Symbols at their first changed line, from all lines of added and the changed lines of other files; of several units
+    of one id the first counts."""
+    u = _units(spark, d, "unit_no", "id", "line", "end_line").where("line is not null and end_line is not null and end_line >= line")
+    u = u.groupBy("id").agg(F.min(F.struct("unit_no", "line", "end_line")).alias("u")).select("id", "u.*")
     status = F.when(F.col("unit_no") % 3 == 0, "added").when(F.col("unit_no") % 3 == 1, "deleted").otherwise("modified")
-    files = u.select(F.col("id").alias("file"), status.alias("status"), (F.col("end_line") - F.col("line") + 1).alias("n_lines"), F.when(status == "modified", F.array("line", "end_line")).alias("changed")).dropDuplicates(["file"])
+    files = u.select(F.col("id").alias("file"), status.alias("status"), (F.col("end_line") - F.col("line") + 1).alias("n_lines"), F.when(status == "modified", F.array("line", "end_line")).alias("changed"))
     located = intervals.attributed_lines(files).join(files.select("file", "status"), "file").withColumn("symbol_id", F.col("file"))
     return intervals.first_symbols(located).select("symbol_id", F.col("line").cast("int").alias("line"), "change_kind")
 
 
+def j8_changed_symbols(spark, d):
+    """Symbols that the findings' lines change, each at its first line; source files that the units do not know are unparsed."""
+    f = table(spark, d, "findings").where("file is not null").select(text.plain_slashes(F.col("file")).alias("file"), "line")
+    files = f.groupBy("file").agg(F.array_sort(F.collect_set(F.when(F.col("line") > 0, F.col("line")))).alias("changed")).withColumn("status", F.lit("modified"))
+    units = _units(spark, d, "id", "file", "line", "end_line").where("line is not null").select(text.plain_slashes(F.col("file")).alias("file"), F.col("line").alias("start"), F.coalesce("end_line", "line").alias("end"), F.col("id").alias("decl"))
+    return intervals.changed_symbols(files, units).select("symbol_id", "file", F.col("line").cast("int").alias("line"), "change_kind")
+
+
 # Similarity
 
 
@@ -173,9 +183,15 @@ def a12_units(spark, d):
     return _units(spark, d, "unit_no", "tokens").where(F.size("tokens") >= similarity.LEAST_TOKENS).select("unit_no", F.size("tokens").alias("n"))
 
 
+def a12_extracted(spark, d):
+    """Functions with a body found in source heads, with the lines and levelled tokens of each."""
+    rows = _sources(spark, d).select("repo", "path", F.explode(code.function_units(F.col("content"), 1)).alias("u"))
+    return rows.select("repo", "path", "u.name", "u.kind", "u.line", "u.end_line", F.size("u.tokens").alias("n"))
+
+
 def h1_normal_tokens(spark, d):
     """Levelled tokens of source heads, counted by kind."""
-    rows = _sources(spark, d).select("repo", "path", F.explode(sequential.normalised_tokens(F.col("content"))).alias("t"))
+    rows = _sources(spark, d).select("repo", "path", F.explode(code.normal_tokens(F.col("content"))).alias("t"))
     return rows.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("t") == "ID", 1)).alias("names"), F.count(F.when(F.startswith("t", F.lit("N:")), 1)).alias("kept"))
 
 
@@ -217,16 +233,17 @@ def d14_other_repositories(spark, d):
 
 
 def ranked_matches(spark, d):
-    """The ten most important of all local and other-repository hits, with their similarity."""
+    """The ten most important local and other-repository hits of the units in which a finding lies, with their similarity."""
+    touched = cut(d3_touched_units(spark, d).select(F.col("unit_no").alias("unit")).distinct()).df
     scoped = cut(_scoped(spark, d).select("a", "b", "similarity", "local")).df
-    local = similarity.first_direction(similarity.hits_per_unit(scoped.where("local"))).withColumn("scope", F.lit("this-repository"))
-    other = similarity.hits_per_unit(scoped.where("not local")).withColumn("scope", F.lit("other-repository"))
+    local = similarity.first_direction(similarity.hits_per_unit(scoped.where("local")).join(touched, "unit", "left_semi")).withColumn("scope", F.lit("this-repository"))
+    other = similarity.hits_per_unit(scoped.where("not local")).join(touched, "unit", "left_semi").withColumn("scope", F.lit("other-repository"))
     fan = unique(spark, d, "stored_matches", "match_id", "match_no").where("match_no is not null").groupBy(F.col("match_no").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
     return similarity.ranked(local.unionByName(other), fan)
 
 
 def g2_ranked_matches(spark, d):
-    """The ten most important of all local and other-repository hits; a unit's fan-in is its number of stored matches."""
+    """The ten most important local and other-repository hits of touched units; a unit's fan-in is its number of stored matches."""
     return ranked_matches(spark, d).select("unit", "other", "scope", "importance")
 
 
@@ -234,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a2_file_at_ref, a5_changed_files, a8_split_diffs, a10_project_files, a11_imports, a12_units, a13_rules, a14_payloads, a23_candidates, d1_resolved_imports, j1_module_graph,
-        d2_enclosing_units, d3_touched_units, e5_first_symbols, i15_parsed_answers, i26_event_props, h1_normal_tokens, h3_fingerprints, h4_norms, h6_similar_units, f5_pairs,
+        d2_enclosing_units, d3_touched_units, e5_first_symbols, j8_changed_symbols, a12_extracted, i15_parsed_answers, i26_event_props, h1_normal_tokens, h3_fingerprints, h4_norms, h6_similar_units, f5_pairs,
         d14_other_repositories, g2_ranked_matches,
     )
 }
@@ -272,7 +289,21 @@ def _top(source: str, where: str, name: str) -> str:
 
 _ONCE = "SELECT unit, other, s, r FROM (SELECT *, row_number() OVER (PARTITION BY least(unit, other), greatest(unit, other) ORDER BY unit, r) AS k FROM {0}) WHERE k = 1"
 
+_TOUCHED = f"""fl AS (SELECT DISTINCT {_PLAIN} AS file, line FROM findings WHERE line > 0),
+  touched AS (SELECT DISTINCT unit_no FROM (SELECT *, {_PLAIN} AS pf FROM u WHERE line IS NOT NULL) x WHERE EXISTS (SELECT 1 FROM fl WHERE fl.file = x.pf AND fl.line BETWEEN x.line AND coalesce(x.end_line, x.line)))"""
+
 SQL = {
+    "e5_first_symbols": f"""WITH {_U}, v AS (SELECT id, min((unit_no, line, end_line)) AS s FROM u WHERE end_line >= line GROUP BY id)
+        SELECT id AS symbol_id, CASE WHEN s[1] % 3 = 0 THEN 1 ELSE s[2] END AS line, CASE WHEN s[1] % 3 = 0 THEN 'added' ELSE 'modified' END AS change_kind FROM v WHERE s[1] % 3 <> 1""",
+    "j8_changed_symbols": f"""WITH {_U}, x AS (SELECT {_PLAIN} AS file, line FROM findings WHERE file IS NOT NULL),
+        src AS (SELECT DISTINCT file FROM x WHERE regexp_matches(file, '\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$') AND NOT suffix(file, '.d.ts')),
+        r AS (SELECT {_PLAIN} AS file, line AS a, coalesce(end_line, line) AS b, id FROM u WHERE line IS NOT NULL),
+        known AS (SELECT file, max(b) AS n FROM r GROUP BY file),
+        p AS (SELECT DISTINCT file, line FROM x WHERE line > 0 AND file IN (SELECT file FROM src) AND file IN (SELECT file FROM known)
+          UNION SELECT file, i FROM known, unnest(range(1, n + 1)) AS t(i) WHERE file IN (SELECT file FROM src) AND file NOT IN (SELECT file FROM x WHERE line > 0)),
+        l AS (SELECT p.file, p.line, coalesce(arg_min(id, (-a, b, id)) FILTER (id IS NOT NULL), p.file || '#<module>') AS symbol_id FROM p LEFT JOIN r ON r.file = p.file AND p.line BETWEEN a AND b GROUP BY 1, 2)
+        SELECT symbol_id, any_value(file) AS file, CAST(min(line) AS INTEGER) AS line, 'modified' AS change_kind FROM l GROUP BY symbol_id
+        UNION ALL SELECT NULL, file, NULL, 'unparsed' FROM src WHERE file NOT IN (SELECT file FROM known)""",
     "a2_file_at_ref": "SELECT repo, file, n_bytes FROM (SELECT DISTINCT repo, file FROM function_units) LEFT JOIN (SELECT repo, file, max(n_bytes) AS n_bytes FROM source_files GROUP BY 1, 2) USING (repo, file)",
     "a5_changed_files": f"""WITH {_D} SELECT CAST(unit_no AS VARCHAR) AS diff_id, path, CAST(NULL AS VARCHAR) AS previous_path, CASE WHEN unit_no % 3 = 0 THEN 'added' ELSE 'modified' END AS status, 1 AS hunks, line AS old_start, CAST(n + 1 AS INTEGER) AS new_lines,
         [CAST(x AS INTEGER) FOR x IN range(line + 1, line + n + 1)] AS changed FROM dd""",
@@ -304,7 +335,8 @@ SQL = {
     "f5_pairs": f"WITH {_HITS}, {_top('near', 'true', 'h')} SELECT unit, other, r FROM ({_ONCE.format('h')})",
     "d14_other_repositories": f"WITH {_HITS}, {_top('near', 'NOT loc AND NOT ov', 'h')} SELECT unit, other, r FROM h",
     "g2_ranked_matches": f"""WITH {_HITS}, {_top('near', 'loc AND NOT ov', 'h')}, {_top('near', 'NOT loc AND NOT ov', 'o')}, fan AS (SELECT match_no AS id, count(DISTINCT match_id) AS n FROM stored_matches WHERE match_no IS NOT NULL GROUP BY 1),
-        a AS (SELECT *, 'this-repository' AS scope FROM ({_ONCE.format('h')}) UNION ALL SELECT *, 'other-repository' FROM o)
+        {_TOUCHED}, ht AS (SELECT * FROM h WHERE unit IN (SELECT unit_no FROM touched)),
+        a AS (SELECT *, 'this-repository' AS scope FROM ({_ONCE.format('ht')}) UNION ALL SELECT *, 'other-repository' FROM o WHERE unit IN (SELECT unit_no FROM touched))
         SELECT unit, other, scope, CASE WHEN scope = 'this-repository' THEN greatest(coalesce(x.n, 0), coalesce(y.n, 0)) ELSE coalesce(x.n, 0) END AS importance
         FROM a LEFT JOIN fan x ON x.id = unit LEFT JOIN fan y ON y.id = other ORDER BY importance DESC, floor(s * 100 + 0.5) DESC, unit, r LIMIT 10""",
 }

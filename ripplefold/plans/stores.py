@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplefold.durable import cut, application_folder
-from ripplefold.functions import sequential, text
+from ripplefold.functions import code, sequential, text
 from ripplefold.operators import blast, evidence, graph, jobs, vectors
 from ripplefold.plans import graphs, inputs_and_units, records
 from ripplefold.sources import inputs, sinks
@@ -38,26 +38,20 @@ def b1_saved_runs(spark, d):
     root = f"{application_folder(spark)}/record-{uuid.uuid4().hex}"
     runs = unique(spark, d, "runs", "id", "provider", "findings_count")
     found = unique(spark, d, "findings", "id", "run_id", "grounded")
-    sinks.save_run({"runs": runs, "findings": found}, root, "all")
+    if not sinks.save_run({"runs": runs, "findings": found}, root, "all"):
+        raise RuntimeError("the record was not saved")
     saved = spark.read.parquet(f"{root}/findings").groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return spark.read.parquet(f"{root}/runs").join(saved, "id", "left").select("id", "provider", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def k7_drained_queue(spark, d):
-    """The final state of each pull request's deliveries after the stream of them has been drained."""
+    """The final state of each pull request's deliveries after the stream of them, repeated and late ones too, is drained."""
     root = f"{application_folder(spark)}/queue-{uuid.uuid4().hex}"
-    jobs_once = unique(spark, d, "review_jobs", "delivery_id", "owner", "repo", "pull_number", "created_at").where("delivery_id is not null")
-    cut_jobs = cut(jobs_once.withColumn("created_at", F.col("created_at").cast("timestamp")))
-    source = spark.readStream.schema(cut_jobs.df.schema).parquet(cut_jobs.path)
-    changes = stream.queue_changes(stream.unique_deliveries(source, delay="36500 days"))
-
-    def sink(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{root}/changes")
-
-    stream.drain(changes, sink, f"{root}/state").awaitTermination()
-    seen = spark.read.parquet(f"{root}/changes")
-    last = seen.groupBy("delivery_id").agg(F.max(F.struct("batch", (F.col("state") == "superseded").alias("gone"))).alias("x"))
-    return last.select("delivery_id", F.when(F.col("x.gone"), "superseded").otherwise("pending").alias("state"))
+    rows = table(spark, d, "review_jobs").select("delivery_id", "owner", "repo", "pull_number", F.col("created_at").cast("timestamp").alias("created_at")).where("delivery_id is not null")
+    written = cut(rows)
+    source = spark.readStream.schema(written.df.schema).parquet(written.path)
+    stream.drain(stream.queue_changes(source), stream.by_batch(f"{root}/changes"), f"{root}/state").awaitTermination()
+    return stream.final_states(spark.read.schema(stream.CHANGES).parquet(f"{root}/changes"))
 
 
 def i18_signatures(spark, d):
@@ -89,6 +83,14 @@ def l4_missed_everywhere(spark, d):
 
 
 def c8_quotable_types(spark, d):
+    """The first twelve interfaces, type aliases and enums of at most 1500 characters of each repository, by path and line."""
+    files = inputs_and_units._sources(spark, d).select("repo", "path", F.explode(code.contracts(F.col("content"))).alias("c"))
+    once = files.groupBy("repo", "path", F.col("c.name").alias("name")).agg(F.min("c.line").alias("line"))
+    ranked = once.withColumn("r", F.row_number().over(W.partitionBy("repo").orderBy("path", "line", "name")))
+    return ranked.where("r <= 12").select("repo", "path", "name", F.col("r").cast("int").alias("r"))
+
+
+def c8_short_heads(spark, d):
     """The first twelve distinct in-repository heads of at most 1500 characters per repository, by path."""
     files = unique(spark, d, "source_files", "repo", "file", "head").where(F.col("head").isNotNull() & (F.length("head") <= 1500))
     once = files.groupBy("repo", "head").agg(F.min("file").alias("file"))
@@ -134,7 +136,7 @@ def k9_checked_states(spark, d):
     return jobs.checked_states(unique(spark, d, "review_jobs", "id", "state")).select("id", "state")
 
 
-QUERIES = {f.__name__: f for f in (h7_store_search, b1_saved_runs, b2_snapshot, k7_drained_queue, k8_repaired_answers, k9_checked_states, i6_relative_paths, i18_signatures, l4_missed_everywhere, c8_quotable_types, j9_impact_evidence)}
+QUERIES = {f.__name__: f for f in (h7_store_search, b1_saved_runs, b2_snapshot, k7_drained_queue, k8_repaired_answers, k9_checked_states, i6_relative_paths, i18_signatures, l4_missed_everywhere, c8_quotable_types, c8_short_heads, j9_impact_evidence)}
 
 SQL = {
     "h7_store_search": """WITH f AS (SELECT DISTINCT fp_id, repo, embedder, fingerprint_version AS v, embedding::DOUBLE[] AS e FROM function_fingerprints WHERE len(embedding) > 0),
@@ -151,5 +153,5 @@ SQL = {
     "i6_relative_paths": "SELECT DISTINCT id, CASE WHEN starts_with(repo_root, '/srv/checkouts/') THEN substr(repo_root, 16) END AS below, printf('%.1f%%', CAST(length(repo_root) AS DOUBLE)) AS share FROM runs",
     "i18_signatures": "SELECT DISTINCT id, CASE id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'malformed' ELSE 'missing' END AS state FROM review_jobs",
     "l4_missed_everywhere": f"WITH {records._F}, {records._CASES} SELECT \"case\", defect_no FROM df WHERE defect_no NOT IN (SELECT defect_no FROM m WHERE finding_no <> defect_no)",
-    "c8_quotable_types": """SELECT repo, file, CAST(r AS INTEGER) AS r FROM (SELECT repo, file, row_number() OVER (PARTITION BY repo ORDER BY file, head) AS r FROM (SELECT repo, head, min(file) AS file FROM source_files WHERE length(head) <= 1500 GROUP BY 1, 2)) WHERE r <= 12""",
+    "c8_short_heads": """SELECT repo, file, CAST(r AS INTEGER) AS r FROM (SELECT repo, file, row_number() OVER (PARTITION BY repo ORDER BY file, head) AS r FROM (SELECT repo, head, min(file) AS file FROM source_files WHERE length(head) <= 1500 GROUP BY 1, 2)) WHERE r <= 12""",
 }

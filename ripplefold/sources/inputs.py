@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplefold.functions.text import estimated_tokens
+from ripplefold.functions.text import SEVERITIES, estimated_tokens, finding_schema_hint
 
 #: The form of a rule line, the payload actions that matter, the echoed finding.
 RULE = r"^deny\s+(\S+)\s*->\s*(\S+)$"
@@ -64,20 +64,31 @@ def pull_requests(payloads: DataFrame, event: str = "event", body: str = "body")
     return rows.where(F.col("action").isin(*ACTIONS)).na.drop(subset=[n for n in fields]).drop(event, body)
 
 
+#: The settings that may be given, by name, with their kind and what they must fulfil.
+PROVIDERS = ("echo", "openai", "gemini")
+BOUNDS = {"port": (1, 65535), "llm_max_output_tokens": (256, 200_000), "llm_temperature": (0, 2), "context_token_budget": (1_000, 2_000_000), "blast_radius_max_hops": (1, 10)}
+CHOICES = {"node_env": ("development", "test", "production"), "llm_provider": PROVIDERS, "review_fail_on": (*SEVERITIES, "never")}
+KEYS = {"openai": "openai_api_key", "gemini": "google_api_key"}
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Validated settings; a named provider other than echo needs its key."""
-
-    provider: str = "echo"
-    model: str | None = None
-    max_output_tokens: int = 4096
-    temperature: float = 0.0
-    token_budget: int = 60_000
-    max_hops: int = 3
-    fail_on: str = "never"
-    webhook_secret: str | None = None
-    openai_key: str | None = None
-    google_key: str | None = None
+    """Validated settings; a provider other than echo needs its key. All that is wrong is told at once."""
+
+    node_env: str = "development"
+    port: int = 3000
+    llm_provider: str = "echo"
+    llm_model: str | None = None
+    llm_max_output_tokens: int = 4096
+    llm_temperature: float = 0.0
+    openai_api_key: str | None = None
+    google_api_key: str | None = None
+    context_token_budget: int = 60_000
+    blast_radius_max_hops: int = 3
+    database_url: str | None = None
+    github_webhook_secret: str | None = None
+    github_token: str | None = None
+    review_fail_on: str = "high"
 
     @classmethod
     def read(cls, *files: str, environment: dict[str, str] | None = None) -> "Settings":
@@ -87,15 +98,32 @@ class Settings:
             if os.path.exists(path):
                 values.update(re.findall(r"(?m)^\s*([A-Z_]+)\s*=\s*\"?(.*?)\"?\s*$", open(path).read()))
         values.update(environment if environment is not None else os.environ)
-        kinds = {"max_output_tokens": int, "temperature": float, "token_budget": int, "max_hops": int}
-        given = {n: kinds.get(n, str)(values[n.upper()]) for n in cls.__dataclass_fields__ if values.get(n.upper())}
+        given, wrong = {}, []
+        for name, setting in cls.__dataclass_fields__.items():
+            text = values.get(name.upper())
+            if text is None:
+                continue
+            kind = type(setting.default) if setting.default is not None else str
+            try:
+                value = kind(text.strip())
+            except ValueError:
+                wrong.append(f"{name.upper()} must be a number")
+                continue
+            if value == "":
+                wrong.append(f"{name.upper()} must not be blank")
+            low, high = BOUNDS.get(name, (value, value))
+            if not low <= value <= high:
+                wrong.append(f"{name.upper()} must be {low} to {high}")
+            if value not in CHOICES.get(name, (value,)):
+                wrong.append(f"{name.upper()} must be one of {', '.join(CHOICES[name])}")
+            given[name] = value
         made = cls(**given)
-        if not 1 <= made.max_hops <= 10:
-            raise ValueError("MAX_HOPS must be 1 to 10")
-        if made.provider not in ("echo", "openai", "google"):
-            raise ValueError(f"unknown provider {made.provider!r}")
-        if (made.provider == "openai" and not made.openai_key) or (made.provider == "google" and not made.google_key):
-            raise ValueError(f"provider {made.provider} needs its key")
+        if made.database_url and not re.match(r"postgres(ql)?://", made.database_url):
+            wrong.append("DATABASE_URL must be a postgres:// address")
+        if (needed := KEYS.get(made.llm_provider)) and not getattr(made, needed):
+            wrong.append(f"{needed.upper()} is required for {made.llm_provider}")
+        if wrong:
+            raise ValueError("; ".join(wrong))
         return made
 
 
@@ -106,10 +134,12 @@ def echo_answers(prompts: DataFrame, key: str, prompt: str = "prompt") -> DataFr
     return prompts.select(key, refs.alias("refs"), file.alias("file"), F.ceil(F.length(prompt) / 4).cast("long").alias("input_tokens"), estimated_tokens(F.col(prompt)).alias("upper_tokens"))
 
 
-def completed(prompts: DataFrame, complete: Callable[[str], str], check: Callable[[str], tuple[list | None, str | None]], key: str, prompt: str = "prompt", tries: int = 3) -> DataFrame:
-    """(key, answer, calls, problem): a model asked up to ``tries`` times, each time told what was wrong before.
+def completed(prompts: DataFrame, complete: Callable[[str], object], check: Callable[[str], tuple[list | None, str | None]], key: str, prompt: str = "prompt", tries: int = 3) -> DataFrame:
+    """(key, answer, calls, problem, input_tokens, output_tokens): a model asked up to ``tries`` times, each time told
+    what was wrong before and which form is expected.
 
-    The model is any callable; it is called from the executors, batch by batch.
+    The model is any callable that gives a text or ``models.Answer``; it is called from the executors, batch by batch.
+    Tokens are summed over all calls, also the refused ones, and null where any call did not count them.
     """
     kind = prompts.schema[key].dataType.simpleString()
 
@@ -117,15 +147,18 @@ def completed(prompts: DataFrame, complete: Callable[[str], str], check: Callabl
         for frame in frames:
             rows = []
             for k, text in frame.itertuples(index=False):
-                said, answer, problem, calls = text, None, None, 0
+                said, answer, problem, calls, used = text, None, None, 0, []
                 while calls < tries:
                     calls += 1
-                    answer = complete(said)
+                    told = complete(said)
+                    answer = getattr(told, "text", told)
+                    used.append((getattr(told, "input_tokens", None), getattr(told, "output_tokens", None)))
                     _, problem = check(answer)
                     if problem is None:
                         break
-                    said = f"{text}\n\nYour last answer was not accepted: {problem}\nAnswer again with JSON only."
-                rows.append((k, answer, calls, problem))
-            yield pd.DataFrame(rows, columns=[key, "answer", "calls", "problem"])
+                    said = f"{text}\n\nYour last answer was not accepted: {problem}\nAnswer again with JSON only, in this form:\n{finding_schema_hint()}"
+                sums = [sum(x) if x and None not in x else None for x in zip(*used)] or [None, None]
+                rows.append((k, answer, calls, problem, *sums))
+            yield pd.DataFrame(rows, columns=[key, "answer", "calls", "problem", "input_tokens", "output_tokens"]).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
 
-    return prompts.select(key, prompt).mapInPandas(run, f"{key} {kind}, answer string, calls int, problem string")
+    return prompts.select(key, prompt).mapInPandas(run, f"{key} {kind}, answer string, calls int, problem string, input_tokens bigint, output_tokens bigint")

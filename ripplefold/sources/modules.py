@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefold.functions.text import SOURCE_ENDINGS, is_external, is_project_node, joined_path, parent_folder
+from ripplefold.functions.text import SOURCE_ENDINGS, is_external, is_project_node, joined_path, layer_glob, parent_folder
 
 #: Statements that name a module, and endings that stand for another one's source.
-IMPORT = r"""(?m)^\s*(?:import|export)\s+(?:type\s+)?(?:[^'";]*?\sfrom\s+)?['"]([^'"]+)['"]|\bimport\(\s*['"]([^'"]+)['"]\s*\)"""
-STATIC_IMPORT = r"""(?m)^\s*(?:import|export)\s+(?:type\s+)?(?:[^'";]*?\sfrom\s+)?['"]([^'"]+)['"]"""
-DYNAMIC_IMPORT = r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)"""
+IMPORT = (
+    r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+    r"|(?:(?m:^)\s*(?:import|export)\s+(?:type\s+)?(?:[^'\";`/]*?\sfrom\s*)?|(?<![\w$.])import\(\s*)['\"]([^'\"\n]+)['\"]"
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+)
 REWRITES = {".js": ".ts", ".jsx": ".tsx", ".mjs": ".mts", ".cjs": ".cts"}
 IGNORED = ("node_modules", "dist", "build", "out", "coverage", ".git", ".next", ".turbo", "vendor", "tmp")
 
@@ -22,6 +27,26 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select(F.regexp_replace("path", f"^(file:/*)?.*?{base.lstrip('/')}", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
+def glob_lists(tsconfig: str | None) -> tuple[list[str], list[str]]:
+    """(included, excluded) globs of a project file with comments and trailing commas; no file names mean everything."""
+    plain = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", tsconfig or "{}", flags=re.S)
+    told = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain))
+    return [*told.get("files", []), *told.get("include", [] if "files" in told else ["**/*"])], told.get("exclude", [])
+
+
+def included(tree: DataFrame, tsconfig: str | None) -> DataFrame:
+    """``project_files`` that a project file names: in one of its globs and in none that it excludes. A glob that names a
+    folder stands for all below; without a project file all are in."""
+    wanted, left_out = glob_lists(tsconfig)
+
+    def fits(globs: list[str]) -> Column:
+        spelled = [g.removeprefix("./").rstrip("/") for g in globs]
+        every = [layer_glob(g) for g in spelled] + [layer_glob(f"{g}/**") for g in spelled if "." not in g.rpartition("/")[2]]
+        return F.col("path").rlike("|".join(f"(?:{x})" for x in every)) if every else F.lit(False)
+
+    return project_files(tree).where(fits(wanted) & ~fits(left_out))
+
+
 def project_files(tree: DataFrame) -> DataFrame:
     """Rows of ``tree(path, ...)`` that are source of the project itself."""
     ignored = "|".join(IGNORED).replace(".", r"\.")
@@ -30,8 +55,8 @@ def project_files(tree: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, ord, specifier): static, side-effect, type, re-exported and dynamic imports of literal names, in order
-    of their kind and place. A null content imports nothing."""
-    found = F.concat(F.regexp_extract_all(content, F.lit(STATIC_IMPORT), 1), F.regexp_extract_all(content, F.lit(DYNAMIC_IMPORT), 1))
+    of place. Comments, strings and templates are passed over whole; a null content imports nothing."""
+    found = F.filter(F.regexp_extract_all(content, F.lit(IMPORT), 1), lambda x: x != "")
     return files.where(F.col(content).isNotNull()).select(F.col(path).alias("path"), F.posexplode(found).alias("ord", "specifier"))
 
 

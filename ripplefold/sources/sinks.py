@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ WIDEST = 16_000
 
 
 def save_run(tables: dict[str, DataFrame], root: str, run_id: str) -> bool:
-    """Write a run's tables under a staging folder and move it into place; False instead of an error.
+    """Write a run's tables under a staging folder and move it into place; False and a warning instead of an error.
 
     A reader of ``root/<table>/run=<id>`` sees all of a table or none.
     """
@@ -33,7 +35,8 @@ def save_run(tables: dict[str, DataFrame], root: str, run_id: str) -> bool:
             files.delete(target, True)
             files.rename(path(f"{root}/_staging/{run_id}/{name}"), target)
         return True
-    except Exception:  # noqa: BLE001 - a lost record must not lose the review
+    except Exception as reason:  # noqa: BLE001 - a lost record must not lose the review
+        logging.getLogger(__name__).warning("run %s was not saved: %s", run_id, reason)
         return False
 
 
@@ -103,9 +106,3 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> Column:
 def as_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(json): one document per row, null fields left out."""
     return df.select(F.to_json(F.struct(*(columns or df.columns))).alias("json"))
-
-
-def scorecard(arms: list[dict]) -> str:
-    """Markdown of a few arm rows, one per arm."""
-    head = ["| arm | n | mean f1 | stdev |", "| --- | --- | --- | --- |"]
-    return "\n".join(head + [f"| {a['arm']} | {a['n']} | {a['mean']:.3f} | {a['stdev']:.3f} |" for a in arms])

@@ -97,9 +97,12 @@ def test_rules_and_settings(spark, tmp_path):
     with pytest.raises(Exception, match="line 1"):
         inputs.rule_lines(spark.createDataFrame([("nonsense",)], "text string")).collect()
     env = tmp_path / ".env"
-    env.write_text("MAX_HOPS=5\nPROVIDER=echo\n")
-    assert inputs.Settings.read(str(env), environment={"TOKEN_BUDGET": "9"}).max_hops == 5
-    for bad in ({"MAX_HOPS": "11"}, {"PROVIDER": "openai"}, {"PROVIDER": "x"}):
+    env.write_text("BLAST_RADIUS_MAX_HOPS=5\nLLM_PROVIDER=echo\n")
+    assert inputs.Settings.read(str(env), environment={"CONTEXT_TOKEN_BUDGET": "9000"}).blast_radius_max_hops == 5
+    assert inputs.Settings.read(environment={"LLM_PROVIDER": "gemini", "GOOGLE_API_KEY": "k"}).llm_provider == "gemini"
+    with pytest.raises(ValueError, match="PORT.*OPENAI_API_KEY"):
+        inputs.Settings.read(environment={"PORT": "x", "LLM_PROVIDER": "openai"})
+    for bad in ({"BLAST_RADIUS_MAX_HOPS": "11"}, {"LLM_PROVIDER": "x"}, {"DATABASE_URL": "mysql://x"}, {"LLM_MODEL": " "}, {"REVIEW_FAIL_ON": "bad"}):
         with pytest.raises(ValueError):
             inputs.Settings.read(environment=bad)
 
@@ -222,7 +225,6 @@ def test_sinks(spark, tmp_path):
     for bad in (0, 16_001, True, 1.5):
         with pytest.raises(ValueError):
             sinks.checked_width(bad)
-    assert "| a | 2 | 0.500 | 0.100 |" in sinks.scorecard([{"arm": "a", "n": 2, "mean": 0.5, "stdev": 0.1}])
 
 
 def test_repair_loop_stops_at_three_calls(spark):
