@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
-from ripplefold.functions.text import edge_key
+from ripplefold.functions.text import edge_key, plural
 from ripplefold.operators import blast, evidence, graph
 from ripplefold.sources import sinks
 from ripplefold.sources.tables import table
@@ -174,6 +174,13 @@ def b6_shown_sites(spark, d):
     return sinks.shown_sites(cut(_sites(spark, d)).df).select("origin", "symbol_id", "hops", F.col("r").cast("int").alias("r"), F.col("more").cast("long").alias("more"))
 
 
+def b6_impact_text(spark, d):
+    """What each changed part reaches, as text: its nearest sites and how many more there are."""
+    shown = sinks.shown_sites(cut(_sites(spark, d)).df).withColumn("line", F.concat_ws("  ", plural(F.col("hops"), "hop"), "symbol_id"))
+    told = shown.groupBy("origin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("more").alias("more"))
+    return told.select("origin", F.concat("text", F.when(F.col("more") > 0, F.concat(F.lit("\nand "), F.col("more").cast("string"), F.lit(" more"))).otherwise("")).alias("text"))
+
+
 def b10_hop_columns(spark, d):
     return sinks.hop_columns(cut(_sites(spark, d)).df).select("hops", "symbol_id", F.col("r").cast("int").alias("r"), F.col("overflow").cast("long").alias("overflow"))
 
@@ -223,7 +230,14 @@ broken AS (
   UNION ALL SELECT 'deny Brand#3?/**/*1 -> Brand#4?/**', * FROM edges WHERE regexp_matches(src, '^Brand#3[^/]/(?:.*/)?[^/]*1$') AND regexp_matches(dst, '^Brand#4[^/]/.*$')),
 violations AS (SELECT rule, src AS from_module, dst AS to_module, specifier, first_seen >= TIMESTAMP '{CHANGED_SINCE}' AS introduced FROM broken)"""
 
-QUERIES = {f.__name__: f for f in (j6_impact_blast_radius, j6_stats, e1_coupling, e2_first_edges, d5_violations, d6_introduced_edges, d8_instability_deltas, d15_drawn_edges, d16_dependants, e17_sites_by_origin, j3_cycles, j4_base_graph, j5_introduced_cycles, j7_module_walk, b6_shown_sites, b10_hop_columns, c10_evidence, d10_via_names)}
+SQL_ITEMS = f"""{_VIOLATIONS}, {_DELTAS}, {CLOSURE.format(name='scc', source='edges')}, {CLOSURE.format(name='old', source='base')},
+  ck AS (SELECT component, string_agg(id, '|' ORDER BY id) AS key FROM scc GROUP BY component), co AS (SELECT string_agg(id, '|' ORDER BY id) AS key FROM old GROUP BY component),
+  items AS (
+    SELECT 1 AS built, 'layer-violation' AS kind, from_module AS module, rule || ' ' || from_module || ' -> ' || to_module AS summary, CASE WHEN introduced THEN 950 ELSE 300 END AS weight FROM violations
+    UNION ALL SELECT 0, 'cycle', component, id, CASE WHEN key IN (SELECT key FROM co) THEN 250 ELSE 1000 END FROM scc JOIN ck USING (component)
+    UNION ALL SELECT 3, 'instability', module, module || CASE WHEN before IS NULL THEN ' is new with instability ' ELSE ' instability ' || printf('%.2f', floor(before * 100 + 0.5) / 100) || ' -> ' END || printf('%.2f', floor(after * 100 + 0.5) / 100), 200 FROM deltas)"""
+
+QUERIES = {f.__name__: f for f in (b6_impact_text, j6_impact_blast_radius, j6_stats, e1_coupling, e2_first_edges, d5_violations, d6_introduced_edges, d8_instability_deltas, d15_drawn_edges, d16_dependants, e17_sites_by_origin, j3_cycles, j4_base_graph, j5_introduced_cycles, j7_module_walk, b6_shown_sites, b10_hop_columns, c10_evidence, d10_via_names)}
 
 SQL = {
     "e1_coupling": f"WITH {SQL_EDGES}, {_coupling_sql('coupling', 'edges')} SELECT * FROM coupling",
@@ -253,10 +267,9 @@ SQL = {
     "j7_module_walk": f"""WITH {SQL_EDGES}, l0 AS (SELECT dst AS id, dst AS origin, [CAST(1 AS BIGINT)] AS path FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),"""
     + ",".join(_LEVEL.format(k=k, j=k - 1, seen=" UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(k))) for k in (1, 2, 3))
     + " SELECT id AS symbol_id, CAST(hops AS INTEGER) AS hops, via FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) ORDER BY hops, path LIMIT 25",
-    "c10_evidence": f"""WITH RECURSIVE {SQL_EDGES}, {_VIOLATIONS}, {_DELTAS}, {CLOSURE.format(name='scc', source='edges')}, {CLOSURE.format(name='old', source='base')},
-        k AS (SELECT component, string_agg(id, '|' ORDER BY id) AS key FROM scc GROUP BY component), o AS (SELECT string_agg(id, '|' ORDER BY id) AS key FROM old GROUP BY component), items AS (
-        SELECT 1 AS built, 'layer-violation' AS kind, from_module AS module, rule || ' ' || from_module || ' -> ' || to_module AS summary, CASE WHEN introduced THEN 950 ELSE 300 END AS weight FROM violations
-        UNION ALL SELECT 0, 'cycle', component, id, CASE WHEN key IN (SELECT key FROM o) THEN 250 ELSE 1000 END FROM scc JOIN k USING (component)
-        UNION ALL SELECT 3, 'instability', module, module || CASE WHEN before IS NULL THEN ' is new with instability ' ELSE ' instability ' || printf('%.2f', floor(before * 100 + 0.5) / 100) || ' -> ' END || printf('%.2f', floor(after * 100 + 0.5) / 100), 200 FROM deltas)
+    "c10_evidence": f"""WITH RECURSIVE {SQL_EDGES}, {SQL_ITEMS}
         SELECT split_part(module, '/', 1) AS change, kind, summary, weight, CAST(row_number() OVER (PARTITION BY split_part(module, '/', 1) ORDER BY weight DESC, built, module, summary) AS INTEGER) AS ordinal FROM items""",
+    "b6_impact_text": _WITH_SITES + """, r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hops, symbol_id) AS r, count(*) OVER (PARTITION BY origin) AS n FROM sites),
+        t AS (SELECT origin, string_agg(CASE WHEN hops = 1 THEN '1 hop' ELSE hops || ' hops' END || '  ' || symbol_id, chr(10) ORDER BY r) FILTER (r <= 8) AS shown, any_value(n) AS n FROM r GROUP BY origin)
+        SELECT origin, shown || CASE WHEN n > 8 THEN chr(10) || 'and ' || (n - 8) || ' more' ELSE '' END AS text FROM t""",
 }

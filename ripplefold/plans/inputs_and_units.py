@@ -292,6 +292,12 @@ _ONCE = "SELECT unit, other, s, r FROM (SELECT *, row_number() OVER (PARTITION B
 _TOUCHED = f"""fl AS (SELECT DISTINCT {_PLAIN} AS file, line FROM findings WHERE line > 0),
   touched AS (SELECT DISTINCT unit_no FROM (SELECT *, {_PLAIN} AS pf FROM u WHERE line IS NOT NULL) x WHERE EXISTS (SELECT 1 FROM fl WHERE fl.file = x.pf AND fl.line BETWEEN x.line AND coalesce(x.end_line, x.line)))"""
 
+SQL_RANKED = f"""{_HITS}, {_top('near', 'loc AND NOT ov', 'h')}, {_top('near', 'NOT loc AND NOT ov', 'o')}, fan AS (SELECT match_no AS id, count(DISTINCT match_id) AS n FROM stored_matches WHERE match_no IS NOT NULL GROUP BY 1),
+  {_TOUCHED}, ht AS (SELECT * FROM h WHERE unit IN (SELECT unit_no FROM touched)),
+  both_hits AS (SELECT *, 'this-repository' AS scope FROM ({_ONCE.format('ht')}) UNION ALL SELECT *, 'other-repository' FROM o WHERE unit IN (SELECT unit_no FROM touched)),
+  ranked_hits AS (SELECT unit, other, s, scope, CASE WHEN scope = 'this-repository' THEN greatest(coalesce(x.n, 0), coalesce(y.n, 0)) ELSE coalesce(x.n, 0) END AS importance
+    FROM both_hits LEFT JOIN fan x ON x.id = unit LEFT JOIN fan y ON y.id = other ORDER BY importance DESC, floor(s * 100 + 0.5) DESC, unit, r LIMIT 10)"""
+
 SQL = {
     "e5_first_symbols": f"""WITH {_U}, v AS (SELECT id, min((unit_no, line, end_line)) AS s FROM u WHERE end_line >= line GROUP BY id)
         SELECT id AS symbol_id, CASE WHEN s[1] % 3 = 0 THEN 1 ELSE s[2] END AS line, CASE WHEN s[1] % 3 = 0 THEN 'added' ELSE 'modified' END AS change_kind FROM v WHERE s[1] % 3 <> 1""",
@@ -334,9 +340,5 @@ SQL = {
     "h6_similar_units": f"WITH {_HITS}, {_top('near', 'true', 'h')} SELECT unit, other, r, CAST(floor(s * 100 + 0.5) AS BIGINT) AS hundredths FROM h",
     "f5_pairs": f"WITH {_HITS}, {_top('near', 'true', 'h')} SELECT unit, other, r FROM ({_ONCE.format('h')})",
     "d14_other_repositories": f"WITH {_HITS}, {_top('near', 'NOT loc AND NOT ov', 'h')} SELECT unit, other, r FROM h",
-    "g2_ranked_matches": f"""WITH {_HITS}, {_top('near', 'loc AND NOT ov', 'h')}, {_top('near', 'NOT loc AND NOT ov', 'o')}, fan AS (SELECT match_no AS id, count(DISTINCT match_id) AS n FROM stored_matches WHERE match_no IS NOT NULL GROUP BY 1),
-        {_TOUCHED}, ht AS (SELECT * FROM h WHERE unit IN (SELECT unit_no FROM touched)),
-        a AS (SELECT *, 'this-repository' AS scope FROM ({_ONCE.format('ht')}) UNION ALL SELECT *, 'other-repository' FROM o WHERE unit IN (SELECT unit_no FROM touched))
-        SELECT unit, other, scope, CASE WHEN scope = 'this-repository' THEN greatest(coalesce(x.n, 0), coalesce(y.n, 0)) ELSE coalesce(x.n, 0) END AS importance
-        FROM a LEFT JOIN fan x ON x.id = unit LEFT JOIN fan y ON y.id = other ORDER BY importance DESC, floor(s * 100 + 0.5) DESC, unit, r LIMIT 10""",
+    "g2_ranked_matches": f"WITH {SQL_RANKED} SELECT unit, other, scope, importance FROM ranked_hits",
 }

@@ -128,7 +128,7 @@ def packed_evidence(items):
     """Items (change, kind, summary, weight) numbered per change, by weight and order of building, and packed."""
     built = F.array_position(F.array(*map(F.lit, evidence.BUILD_ORDER)), F.col("kind"))
     costed = items.withColumn("cost", text.estimated_tokens(F.col("summary"))).withColumn("seq", F.struct(built.alias("built"), F.col("summary")))
-    ranked = evidence.ordinals(costed, ["change"]).drop("seq")
+    ranked = evidence.ordinals(costed, ["change"], spread=True).drop("seq")
     return evidence.packed(ranked, ["change"], ["ordinal"], "cost", 2000).select("change", "kind", "summary", "weight", F.col("ordinal").cast("int").alias("ordinal"), "kept")
 
 
@@ -154,4 +154,13 @@ SQL = {
     "i18_signatures": "SELECT DISTINCT id, CASE id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'malformed' ELSE 'missing' END AS state FROM review_jobs",
     "l4_missed_everywhere": f"WITH {records._F}, {records._CASES} SELECT \"case\", defect_no FROM df WHERE defect_no NOT IN (SELECT defect_no FROM m WHERE finding_no <> defect_no)",
     "c8_short_heads": """SELECT repo, file, CAST(r AS INTEGER) AS r FROM (SELECT repo, file, row_number() OVER (PARTITION BY repo ORDER BY file, head) AS r FROM (SELECT repo, head, min(file) AS file FROM source_files WHERE length(head) <= 1500 GROUP BY 1, 2)) WHERE r <= 12""",
+    "j9_impact_evidence": f"""WITH RECURSIVE {graphs.SQL_EDGES}, {graphs.SQL_ITEMS}, {graphs._coupling_sql('coupling', 'edges')}, {graphs.SQL_SITES}, {inputs_and_units.SQL_RANKED}, every AS (
+        SELECT split_part(module, '/', 1) AS change, kind, summary, weight FROM items
+        UNION ALL SELECT split_part(origin, '/', 1), 'impacted-site', symbol_id || ' via ' || via, greatest(1, 800 - 100 * hops + least(module_fan_in, 50)) FROM sites),
+      own AS (SELECT * FROM every UNION ALL SELECT change, 'duplicate', unit || ' is ' || printf('%.2f', floor(s * 100 + 0.5) / 100) || ' similar to ' || other || ' in ' || scope, 600 + CAST(floor(s * 100 + 0.5) AS INTEGER)
+        FROM ranked_hits, (SELECT DISTINCT change FROM every)),
+      numbered AS (SELECT *, CAST(ceil(length(summary) / 1.25) AS BIGINT) AS cost, row_number() OVER (PARTITION BY change ORDER BY weight DESC, list_position(['cycle', 'layer-violation', 'impacted-site', 'instability', 'duplicate'], kind), summary) AS ordinal FROM own),
+      w AS (SELECT change, ordinal, cost <= 2000 AS kept, CASE WHEN cost <= 2000 THEN cost ELSE 0 END AS used FROM numbered WHERE ordinal = 1
+        UNION ALL SELECT n.change, n.ordinal, w.used + n.cost <= 2000, w.used + CASE WHEN w.used + n.cost <= 2000 THEN n.cost ELSE 0 END FROM w JOIN numbered n ON n.change = w.change AND n.ordinal = w.ordinal + 1)
+      SELECT change, kind, summary, CAST(weight AS INTEGER) AS weight, CAST(ordinal AS INTEGER) AS ordinal, kept FROM numbered JOIN w USING (change, ordinal)""",
 }
