@@ -52,6 +52,17 @@ SELECT model, graph_grounded, measure, q, bucket, CAST(floor(2000 * pow({_GAMMA}
 FROM hit
 """
 
+P5_CLASSES = """
+WITH u AS (SELECT unit_no, any_value(tokens) AS t FROM function_units WHERE len(tokens) >= 40 GROUP BY unit_no),
+c AS (SELECT unit_no, t, min(unit_no) OVER (PARTITION BY t) AS class_id, count(*) OVER (PARTITION BY t) AS copies FROM u),
+s AS (SELECT DISTINCT unit_no, array_to_string([coalesce(x, chr(0)) FOR x IN t[i:i + 4]], chr(1)) AS g
+      FROM c, unnest(range(1, len(t) - 3)) AS r(i) WHERE unit_no = class_id),
+n AS (SELECT unit_no, count(*) AS n FROM s GROUP BY unit_no),
+p AS (SELECT a.unit_no AS x, b.unit_no AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.unit_no <> b.unit_no GROUP BY ALL),
+d AS (SELECT x, count(*) AS links FROM p JOIN n a ON a.unit_no = x JOIN n b ON b.unit_no = y WHERE 2 * c >= a.n + b.n - c GROUP BY x)
+SELECT unit_no, class_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN d ON x = class_id
+"""
+
 P5_FOUND = """
 WITH u AS (SELECT unit_no, any_value(tokens) AS t FROM function_units WHERE len(tokens) >= 40 GROUP BY unit_no),
 s AS (SELECT DISTINCT unit_no, array_to_string([coalesce(x, chr(0)) FOR x IN t[i:i + 4]], chr(1)) AS g
@@ -90,6 +101,7 @@ SQL = {
     "p3_exact_percentiles": P3_EXACT,
     "p3_percentiles": P3_PERCENTILES,
     "p5_found": P5_FOUND,
+    "p5_classes": P5_CLASSES,
     "p7_audit": P7_AUDIT,
     "p8_measures": P8_MEASURES,
     "p8_found": P8_FOUND,
