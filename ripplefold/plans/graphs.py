@@ -33,11 +33,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     steps = lines.withColumn("next", F.lead("l_partkey").over(order)).where(F.col("next").isNotNull())
+    spec = F.concat_ws(":", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"))
+    once = steps.groupBy("l_partkey", "next").agg(F.min(spec).alias("specifier"), F.min("l_shipdate").alias("first_seen"))
     named = nodes(spark, d)
     a, b = named.toDF("l_partkey", "src"), named.toDF("next", "dst")
-    spec = F.concat_ws(":", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"))
-    raw = steps.join(a, "l_partkey").join(b, "next").select("src", "dst", spec.alias("specifier"), "l_shipdate", "l_partkey")
-    return raw.groupBy("src", "dst").agg(F.min("specifier").alias("specifier"), F.min("l_shipdate").alias("first_seen"), F.min("l_partkey").alias("ord"))
+    return once.join(a, "l_partkey").join(b, "next").select("src", "dst", "specifier", "first_seen", F.col("l_partkey").alias("ord"))
 
 
 CHANGED_SINCE = "2001-11-01"
