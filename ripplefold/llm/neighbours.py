@@ -2,7 +2,8 @@
 
 Unit vectors are turned by pseudo-random rotations (three rounds of random signs and a fast Hadamard
 transform). A rotated vector is cut in halves; the nearest signed axis of each half is a digit, and two digits
-make the bucket of one table. Every vector enters its own bucket of each table and the buckets reached by
+make the bucket of one table; three or four, of two rotations, where the vectors are so many that two would leave
+buckets too full, with more tables to keep the recall. Every vector enters its own bucket of each table and the buckets reached by
 changing one digit to the next nearest axis, and meets all that enter the same. Each entry carries 128 sign
 bits of other rotated coordinates, which drop nearly all chance meetings inside the bucket; cosines of the rest
 are computed from the whole vectors, and the k best are kept.
@@ -27,8 +28,11 @@ from ripplefold.durable import cut
 from ripplefold.llm.hot import STRIDE, hot_keys
 from ripplefold.operators.blocks import in_blocks
 
-#: Rotations, one table each, and digits changed one at a time per table.
-TABLES = 7
+#: Digits of a bucket and tables up to each number of vectors; a digit of 128 axes has 256 values, so about 64 vectors
+#: meet in a bucket at most on average. A table finds a pair of cosine 0.7 with probability 0.34, 0.2 or 0.11.
+WIDTHS = ((1 << 22, 2, 7), (1 << 30, 3, 13), (1 << 62, 4, 24))
+TABLES = WIDTHS[0][2]
+#: Digits changed one at a time per table.
 PROBES = 2
 #: Differing sign bits of 128 up to which a meeting is looked at: at a cosine of 0.7 a bit differs with
 #: probability 0.253, so 42 is two deviations above the mean; unrelated vectors pass once in ten thousand.
@@ -129,7 +133,12 @@ def _packer(whole: bool):
     return run
 
 
-def _hasher(tables: int, probes: int):
+def width_for(n: int) -> tuple[int, int]:
+    """(digits of a bucket, tables) for a number of vectors."""
+    return next((digits_, tables) for most, digits_, tables in WIDTHS if n <= most)
+
+
+def _hasher(tables: int, probes: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, group = batch.column(0), batch.column(1).to_numpy()
@@ -150,16 +159,16 @@ def _hasher(tables: int, probes: int):
         last = pa.array(np.ascontiguousarray(packed[:, 12:]).view(np.int32)[:, 0])
         rest = np.ascontiguousarray(packed[:, 8:12]).view(np.uint32)[:, 0].astype(np.uint64)
         for table in range(tables):
-            best, second, loss = digits(rotate(x, table))
-            shape = np.uint64(x.shape[1])
-            own = best[:, 0].astype(np.uint64) * shape + best[:, 1].astype(np.uint64)
+            turned = [digits(rotate(x, table + 10_000 * i)) for i in range(-(-parts // 2))]
+            best, second, loss = (np.concatenate(same, axis=1)[:, :parts] for same in zip(*turned))
+            weights = np.uint64(x.shape[1]) ** np.arange(parts - 1, -1, -1, dtype=np.uint64)
             order = np.argsort(loss, axis=1)
-            found = [own]
-            for probe in range(min(probes, 2)):
+            found = [best.astype(np.uint64) @ weights]
+            for probe in range(min(probes, parts)):
                 half = order[:, probe]
                 changed = best.copy()
                 changed[every, half] = second[every, half]
-                found.append(changed[:, 0].astype(np.uint64) * shape + changed[:, 1].astype(np.uint64))
+                found.append(changed.astype(np.uint64) @ weights)
             for cell in found:
                 spread = (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(table)) * np.uint64(0xBF58476D1CE4E5B9) + cell
                 spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -242,15 +251,15 @@ def _meetings(most_bits: int):
     return run
 
 
-def candidates(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, most_bits: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+def candidates(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, most_bits: int = MOST_BITS, crowd: int = CROWD, parts: int = 2) -> DataFrame:
     """(a, b), a < b: pairs of different vectors that meet in a bucket and agree in enough sign bits.
 
     Entries are shuffled once, by bucket, and paired in order of it; ids are integers.
     """
     schema = "id bigint, place bigint, near bigint, last int"
-    entries = vectors.mapInArrow(_hasher(tables, probes), schema)
+    entries = vectors.mapInArrow(_hasher(tables, probes, parts), schema)
     cell = F.shiftright("place", 32)
-    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(STRIDE)) == 0).mapInArrow(_hasher(tables, probes), schema)
+    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(STRIDE)) == 0).mapInArrow(_hasher(tables, probes, parts), schema)
     hot = hot_keys(some.select("id", cell.alias("cell")), "cell", "id", crowd)
     if hot.isEmpty():
         return _meet(entries, most_bits).distinct()
@@ -282,10 +291,12 @@ def nearest(df: DataFrame, key: str, vector: str, by: list[str], k: int = 3, lea
     Among equal vectors and equal cosines the smaller id comes first. A class of equal vectors contributes at
     most its k + 1 smallest ids to any list, which is all that a list of k can use.
     """
-    members = cut(classes(usable(df, key, vector, by, False))).df
+    written = cut(classes(usable(df, key, vector, by, False)), F.count(F.when(F.col("id") == F.col("class_id"), 1)).alias("n"))
+    members = written.df
+    parts, tables = width_for(written.metrics["n"])
     heads = members.where("id = class_id").select("id")
     vectors = usable(df, key, vector, by).join(heads, "id", "left_semi").dropDuplicates(["id"])
-    near = similar(vectors, candidates(vectors)).where(F.col("cosine") >= least)
+    near = similar(vectors, candidates(vectors, tables, parts=parts)).where(F.col("cosine") >= least)
     directed = near.select(F.inline(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))))
     best = W.partitionBy("a").orderBy(F.desc("cosine"), "b")
     directed = directed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")

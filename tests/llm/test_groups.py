@@ -184,3 +184,20 @@ def test_crowded_buckets_lose_no_pair(spark):
     packed = cut(neighbours.usable(spark.createDataFrame(rows, FP), "fp_id", "embedding", ["e", "ver"])).df
     plain, crowded = ({(r.a, r.b) for r in neighbours.candidates(packed, crowd=crowd).collect()} for crowd in (10**6, 1))
     assert crowded == plain and len(crowded) >= 0.9 * 400 * 399 / 2
+
+
+def test_wider_buckets_keep_their_recall(spark):
+    rng = np.random.default_rng(6)
+    vecs, no = {}, 0
+    for _ in range(250):
+        base = rng.normal(size=256)
+        for _ in range(4):
+            vecs[no := no + 1] = (base + rng.normal(size=256) * 0.55 * rng.random()).astype(np.float32).tolist()
+    packed = cut(neighbours.usable(spark.createDataFrame([(i, "m", 1, v, "x") for i, v in vecs.items()], FP), "fp_id", "embedding", ["e", "ver"])).df
+    x = np.array([vecs[i] for i in sorted(vecs)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    truth = {(int(a) + 1, int(b) + 1) for a, b in np.argwhere(np.triu(x @ x.T >= 0.7, 1))}
+    assert len(truth) > 1000 and [neighbours.width_for(n)[0] for n in (0, 1 << 22, (1 << 22) + 1, 1 << 40)] == [2, 2, 3, 4]
+    for _, parts, tables in neighbours.WIDTHS:
+        found = {(r.a, r.b) for r in neighbours.candidates(packed, tables, parts=parts).collect()}
+        assert len(found & truth) >= 0.9 * len(truth), (parts, len(found & truth) / len(truth))
