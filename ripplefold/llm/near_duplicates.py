@@ -7,7 +7,8 @@ probability of their Jaccard similarity, but for accidental agreement, whose exp
 off. Three registers make a 48-bit band; sequences that share a band are candidates, the corrected estimate
 drops those far below the threshold, and the runs of the others are compared whole.
 
-Equal sequences are one class with one representative (their smallest id), so copies meet once, not in pairs.
+Every row is sketched where it is read, so tokens never move. Equal sequences, told by 128 bits of hash, are one class
+with one representative (their smallest id), so copies meet once, not in pairs.
 A band shared by a crowd of different sequences is paired block against block, so no pair of it is lost.
 
 Sequences shorter than ``least_tokens`` or null take no part. A null token counts as a token of its own.
@@ -43,15 +44,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(tokens: pa.Array, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct runs of each row, ordered by row and hash."""
+def token_hashes(tokens: pa.Array) -> np.ndarray:
+    """A hash of each token; a null one has its own."""
     import xxhash
 
     coded = tokens.dictionary_encode()
     words = coded.dictionary.to_pylist()
     seeds = np.array([xxhash.xxh64_intdigest("\x00" if w is None else w, 7) for w in words] + [0x9E3779B97F4A7C15], dtype=np.uint64)
     codes = coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False).astype(np.int64)
-    one = _mix(seeds[codes])
+    return _mix(seeds[codes])
+
+
+def run_hashes(one: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct runs of each row of token hashes, ordered by row and hash."""
     sizes = np.diff(offsets)
     runs = np.maximum(sizes - width + 1, 0)
     rows = np.repeat(np.arange(len(sizes)), runs)
@@ -107,28 +112,33 @@ def corrected(same: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 def _sketcher(width: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
+            lists, n = batch.column(1), batch.num_rows
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            tokens = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-            rows, hashed = run_hashes(tokens, offsets - offsets[0], width)
-            n = batch.num_rows
+            one = token_hashes(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
+            offsets -= offsets[0]
+            whole = b"".join(xxhash.xxh3_128_digest(one[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:]))
+            halves = np.frombuffer(whole, dtype=np.int64).reshape(n, 2)
+            rows, hashed = run_hashes(one, offsets, width)
             regs = registers(rows, hashed, n, tables)
+            runs = np.bincount(rows, minlength=n)
             keys = bands(regs)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
-            some = pa.array(np.diff(ends) > 0)  # a sequence without a run is like nothing
-            whole = pa.RecordBatch.from_arrays(
+            some = (runs > 0).astype(np.int32) * keys.shape[1]  # a sequence without a run is like nothing
+            yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.view(np.int64))),
+                    pa.array(np.ascontiguousarray(halves[:, 0])),
+                    pa.array(np.ascontiguousarray(halves[:, 1])),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32)), pa.array(hashed.view(np.int64))),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32)), pa.array(keys[runs > 0].reshape(-1))),
                 ],
-                ["id", "runs", "regs", "bands"],
+                ["id", "h1", "h2", "runs", "regs", "bands"],
             )
-            yield whole.filter(some)
 
     return run
 
@@ -146,27 +156,27 @@ def _estimator(least: float):
     return run
 
 
-def classes(df: DataFrame, key: str, tokens: str, least_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(members, sequences): (id, class_id) of every usable row, and (class_id, tokens) once per class.
+def sketches(df: DataFrame, key: str, tokens: str, least_tokens: int, width: int = 5, tables: int = TABLES) -> DataFrame:
+    """(id, h1, h2, runs, regs, bands, row) of every usable row, written; ``row`` tells repeated rows apart."""
+    rows = df.where(F.size(tokens) >= least_tokens).select(F.col(key).alias("id"), F.col(tokens).cast("array<string>").alias("tokens"))
+    kind = rows.schema["id"].dataType.simpleString()
+    made = rows.mapInArrow(_sketcher(width, tables), f"id {kind}, h1 bigint, h2 bigint, runs array<bigint>, regs binary, bands array<bigint>")
+    return cut(made.withColumn("row", F.monotonically_increasing_id())).df
+
+
+def classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, heads): (id, class_id) of every row once, and (row, class_id) of the one row that stands for a class.
 
-    class_id is the smallest id of equal sequences, told by 128 bits of hash, so only ids and hashes are
-    grouped, with partial minima before the shuffle.
+    class_id is the smallest id of equal sequences; only ids and hashes are grouped, with partial minima.
     """
-    usable = df.where(F.size(tokens) >= least_tokens).select(F.col(key).alias("id"), F.col(tokens).alias("tokens"))
-    spelled = F.concat_ws("\x01", F.transform("tokens", lambda t: F.coalesce(t, F.lit("\x00"))))
-    marked = usable.select("id", F.xxhash64("tokens").alias("h1"), F.xxhash64(spelled, F.size("tokens")).alias("h2"))
-    least = marked.groupBy("h1", "h2").agg(F.min("id").alias("class_id"))
-    members = marked.join(least, ["h1", "h2"]).select("id", "class_id").distinct()
-    sequences = usable.join(least.select(F.col("class_id").alias("id")), "id", "left_semi").groupBy("id").agg(F.any_value("tokens").alias("tokens"))
-    return members, sequences.select(F.col("id").alias("class_id"), "tokens")
+    least = sketched.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("head"))
+    members = sketched.select("id", "h1", "h2").join(least, ["h1", "h2"]).select("id", F.col("head.id").alias("class_id")).distinct()
+    return members, cut(least.select("head.row", F.col("head.id").alias("class_id"))).df
 
 
-def similar_classes(sequences: DataFrame, least: float, width: int = 5, tables: int = TABLES, crowd: int = CROWD) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of different sequences whose sets have a Jaccard similarity of ``least`` or more."""
-    kind = sequences.schema["class_id"].dataType.simpleString()
-    schema = f"id {kind}, runs array<bigint>, regs binary, bands array<bigint>"
-    sketched = cut(sequences.mapInArrow(_sketcher(width, tables), schema)).df
-    banded = sketched.select("id", F.explode("bands").alias("key"))
+def similar_heads(sketched: DataFrame, heads: DataFrame, least: float, tables: int = TABLES, crowd: int = CROWD) -> DataFrame:
+    """(a, b, similarity), a < b by class: pairs of classes whose sets have a Jaccard similarity of ``least`` or more."""
+    banded = sketched.select("row", "bands").join(heads.select("row"), "row", "left_semi").select(F.col("row").alias("id"), F.explode("bands").alias("key"))
     hot = hot_keys(banded, "key", "id", crowd)
     pairs = _meet(banded)
     if not hot.isEmpty():
@@ -175,14 +185,22 @@ def similar_classes(sequences: DataFrame, least: float, width: int = 5, tables:
         pairs = _meet(banded.join(hot, "key", "left_anti")).unionByName(met(dealt, "id"))
     pairs = pairs.distinct()
     deviation = (least * (1 - least) / (tables * BUCKETS)) ** 0.5
-    regs = sketched.select("id", "regs")
+    regs = sketched.select("row", "regs")
     rated = pairs.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
-    likely = rated.mapInArrow(_estimator(max(0.0, least - 5 * deviation)), f"a {kind}, b {kind}")
-    runs = sketched.select("id", "runs")
+    likely = rated.mapInArrow(_estimator(max(0.0, least - 5 * deviation)), "a bigint, b bigint")
+    runs = sketched.select("row", "runs")
     whole = likely.join(runs.toDF("a", "sa"), "a").join(runs.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     compared = whole.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
-    return compared.where(F.col("shared") >= least * (F.col("both") - F.col("shared"))).select("a", "b", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
+    found = compared.where(F.col("shared") >= least * (F.col("both") - F.col("shared"))).select("a", "b", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
+    named = found.join(heads.toDF("a", "ca"), "a").join(heads.toDF("b", "cb"), "b")
+    return named.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "similarity")
+
+
+def similar_classes(sequences: DataFrame, least: float, width: int = 5, tables: int = TABLES, crowd: int = CROWD) -> DataFrame:
+    """``similar_heads`` of sequences (class_id, tokens) of which no two are equal."""
+    sketched = sketches(sequences, "class_id", "tokens", 0, width, tables)
+    return similar_heads(sketched, sketched.select("row", F.col("id").alias("class_id")), least, tables, crowd)
 
 
 def _meet(banded: DataFrame) -> DataFrame:
@@ -193,8 +211,9 @@ def _meet(banded: DataFrame) -> DataFrame:
 def class_links(df: DataFrame, key: str, tokens: str, least: float, least_tokens: int, width: int = 5) -> DataFrame:
     """(key, class_id, copies, links): one row per usable record with the smallest id of its equal copies, the
     number of those and the number of other classes it is similar to. Copies are not expanded into pairs."""
-    members, sequences = classes(df, key, tokens, least_tokens)
-    near = similar_classes(sequences, least, width)
+    sketched = sketches(df, key, tokens, least_tokens, width)
+    members, heads = classes(sketched)
+    near = similar_heads(sketched, heads, least)
     degree = near.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     copies = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
     counted = copies.join(degree, "class_id", "left").select("class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
@@ -206,9 +225,10 @@ def pairs(df: DataFrame, key: str, tokens: str, least: float, least_tokens: int,
 
     The size of this result is that of what it states, so use ``class_links`` where copies are many.
     """
-    members, sequences = classes(df, key, tokens, least_tokens)
+    sketched = sketches(df, key, tokens, least_tokens, width)
+    members, heads = classes(sketched)
     members = cut(members).df
-    near = similar_classes(sequences, least, width)
+    near = similar_heads(sketched, heads, least)
     left, right = members.toDF("x", "a"), members.toDF("y", "b")
     across = near.join(left, "a").join(right, "b").select(F.least("x", "y").alias(names[0]), F.greatest("x", "y").alias(names[1]))
     equal = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias(names[0]), F.col("y").alias(names[1]))

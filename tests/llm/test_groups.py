@@ -105,8 +105,7 @@ def test_crowded_bands_are_split_not_dropped(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"t{i}" for i in range(80)]
     units = {i: base[:40] + [f"u{i}_{rng.randrange(9)}"] + base[40:] for i in range(300)}
-    df = frame(spark, units).select("unit_no", "tokens")
-    _, sequences = near_duplicates.classes(df, "unit_no", "tokens", 40)
+    sequences = frame(spark, units).select(F.col("unit_no").alias("class_id"), "tokens").distinct()
     got = near_duplicates.similar_classes(sequences, 0.5, crowd=1).count()
     assert got >= 0.9 * 300 * 299 / 2
 
@@ -128,6 +127,15 @@ def test_copies_are_one_class_and_nothing_is_empty(spark):
     assert near_duplicates.pairs(frame(spark, {1: None}).limit(0), "unit_no", "tokens", 0.5, 40).count() == 0
 
 
+def test_repeated_rows_and_hot_copies_stay_one_class(spark):
+    body = [f"t{i}" for i in range(60)]
+    rows = [(1, body), (2, body[:30] + ["x"] + body[30:]), (3, body), (4, ["short"] * 4)] * 50 + [(5, None), (6, []), (None, body)]
+    df = spark.createDataFrame([(u, t, "k") for u, t in rows], "unit_no long, tokens array<string>, id string").where("unit_no is not null")
+    assert sorted(tuple(r) for r in near_duplicates.pairs(df, "unit_no", "tokens", 0.5, 40).collect()) == [(1, 2), (1, 3), (2, 3)]
+    links = near_duplicates.class_links(df, "unit_no", "tokens", 0.5, 0)
+    assert {(r.unit_no, r.class_id, r.copies, r.links) for r in links.collect()} == {(1, 1, 2, 1), (3, 1, 2, 1), (2, 2, 1, 1), (4, 4, 1, 0), (6, 6, 1, 0)}
+
+
 def vectors(n_families=120, d=48, seed=7):
     rng = np.random.default_rng(seed)
     out, no = {}, 0
