@@ -203,9 +203,32 @@ def similar_classes(sequences: DataFrame, least: float, width: int = 5, tables:
     return similar_heads(sketched, sketched.select("row", F.col("id").alias("class_id")), least, tables, crowd)
 
 
+def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a < b, of ids of equal keys; rows come in order of their key, and a run of equal keys that is cut by
+    the end of a batch waits for the next one."""
+
+    def found(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        pairs, at, step = [np.zeros((0, 2), ids.dtype)], np.arange(len(ids)), 1
+        while len(at := at[at + step < len(ids)]) and len(at := at[keys[at] == keys[at + step]]):
+            both = np.stack([ids[at], ids[at + step]], axis=1)
+            pairs.append(np.sort(both[both[:, 0] != both[:, 1]], axis=1))
+            step += 1
+        once = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+
+    ids, keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            ids, keys = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([keys, batch.column(1).to_numpy()])
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield found(ids[:end], keys[:end])
+                ids, keys = ids[end:], keys[end:]
+    yield found(ids, keys)
+
+
 def _meet(banded: DataFrame) -> DataFrame:
-    left, right = (banded.select(F.col("id").alias(name), "key") for name in ("a", "b"))
-    return left.join(right, "key").where("a < b").select("a", "b")
+    return banded.select("id", "key").repartition("key").sortWithinPartitions("key").mapInArrow(_run_pairs, "a bigint, b bigint")
 
 
 def class_links(df: DataFrame, key: str, tokens: str, least: float, least_tokens: int, width: int = 5) -> DataFrame:
