@@ -2,12 +2,14 @@
 
 A cut writes the rows as a Parquet table into the shared folder named by ``spark.checkpoint.dir`` and
 reads them back, so later stages start from files that every executor can reach, with true sizes for the
-planner. Only a session without that setting (a test) gets a folder of its own.
+planner. Only a session without that setting (a test) gets a folder of its own. Tables that were not dropped before are
+deleted with ``forget`` or when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
@@ -40,6 +42,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_ENDS: set[str] = set()
+
+
+def _delete_at_exit(spark: SparkSession) -> None:
+    """Have this application's folder deleted when the driver ends; a folder that cannot be is left to its owner."""
+    path = application_folder(spark)
+    if path in _ENDS:
+        return
+    _ENDS.add(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def end() -> None:
+        try:
+            target.getFileSystem(conf).delete(target, True)
+        except Exception as reason:  # noqa: BLE001 - the Java side may be gone
+            logging.getLogger(__name__).debug("%s was left: %s", path, reason)
+
+    atexit.register(end)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every cut table of this application; results that still read one must be written before."""
     _delete(spark, application_folder(spark))
@@ -58,6 +81,7 @@ class CutTable:
 def cut(df: DataFrame, *observed: Column) -> CutTable:
     """Write ``df`` to the shared folder and return the table; ``observed`` aggregates are taken on the way."""
     spark = df.sparkSession
+    _delete_at_exit(spark)
     path = f"{application_folder(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     seen = Observation() if observed else None

@@ -302,7 +302,7 @@ SQL = {
     "e5_first_symbols": f"""WITH {_U}, v AS (SELECT id, min((unit_no, line, end_line)) AS s FROM u WHERE end_line >= line GROUP BY id)
         SELECT id AS symbol_id, CASE WHEN s[1] % 3 = 0 THEN 1 ELSE s[2] END AS line, CASE WHEN s[1] % 3 = 0 THEN 'added' ELSE 'modified' END AS change_kind FROM v WHERE s[1] % 3 <> 1""",
     "j8_changed_symbols": f"""WITH {_U}, x AS (SELECT {_PLAIN} AS file, line FROM findings WHERE file IS NOT NULL),
-        src AS (SELECT DISTINCT file FROM x WHERE regexp_matches(file, '\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$') AND NOT suffix(file, '.d.ts')),
+        src AS (SELECT DISTINCT file FROM x WHERE regexp_matches(file, '[.](ts|tsx|mts|cts|js|jsx|mjs|cjs)$') AND NOT suffix(file, '.d.ts')),
         r AS (SELECT {_PLAIN} AS file, line AS a, coalesce(end_line, line) AS b, id FROM u WHERE line IS NOT NULL),
         known AS (SELECT file, max(b) AS n FROM r GROUP BY file),
         p AS (SELECT DISTINCT file, line FROM x WHERE line > 0 AND file IN (SELECT file FROM src) AND file IN (SELECT file FROM known)
