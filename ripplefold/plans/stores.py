@@ -114,8 +114,10 @@ def j9_impact_evidence(spark, d):
     site_items = sites.select(F.substring_index("origin", "/", 1).alias("change"), F.lit("impacted-site").alias("kind"), F.concat_ws(" ", "symbol_id", F.lit("via"), "via").alias("summary"), evidence.site_weight(F.col("hops"), F.col("module_fan_in")).cast("int").alias("weight"))
     other = graphs.evidence_items(spark, d, graphs.weighted_cycles(e)).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"))
     of_brands = cut(site_items.unionByName(other)).df
-    duplicates = duplicate_items(inputs_and_units.ranked_matches(spark, d))
-    return packed_evidence(of_brands.unionByName(of_brands.select("change").distinct().crossJoin(F.broadcast(duplicates))))
+    duplicates = duplicate_items(inputs_and_units.ranked_matches(spark, d)).collect()  # IN_ALL rows at most
+    told = F.array(*(F.struct(*(F.lit(row[c]).alias(c) for c in ("kind", "summary", "weight"))) for row in duplicates))
+    shared = of_brands.select("change").distinct().select("change", F.inline(told)) if duplicates else of_brands.limit(0)
+    return packed_evidence(of_brands.unionByName(shared))
 
 
 def duplicate_items(hits):
