@@ -17,7 +17,7 @@ pass and shard of a document follow from a few numbers of its source.
 Sources are compared in lower case without outer white space. Targets that name one source twice count as one: their
 shares add up, the larger cap holds, and each spelling is reported. Documents of other or null sources take no part;
 null and empty texts have size 0 and may be placed without weight. A source without documents has size 0. A null
-share or cap counts as 0. Empty tables give no rows.
+share or cap counts as 0, as do negative ones and a share that is no number. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def plain(source: str) -> Column:
 def checked_targets(targets: DataFrame) -> list[dict]:
     """The target rows with a name, as dictionaries with ``plain``, or an error for more than ``MOST_SOURCES``."""
     rows = targets.where("source is not null").select("source", plain("source").alias("plain"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
-    found = [r.asDict() for r in rows.distinct().limit(MOST_SOURCES + 1).collect()]
+    found = [r.asDict() | {"target_share": r["target_share"] if r["target_share"] > 0 else 0.0, "max_repeats": max(r["max_repeats"], 0)} for r in rows.distinct().limit(MOST_SOURCES + 1).collect()]
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     return sorted(found, key=lambda r: r["source"])

@@ -175,6 +175,13 @@ def test_partial_passes_end_at_the_nearest_block_at_any_size(spark):
     assert [(r.source, r.used_tokens, r.short) for r in mix.shares().orderBy("source").collect()] == [(" A", 140_000, False), ("a", 140_000, False), ("b", 0, False)]
 
 
+def test_odd_targets_draw_nothing(spark):
+    docs = spark.createDataFrame([(i, s, 5, "") for i in range(50) for s in ("a", "b", "c", "d")], DOCS)
+    targets = spark.createDataFrame([("a", -0.5, 1), ("b", float("nan"), 2), ("c", 0.5, -3), ("d", 0.5, 1), ("", 0.1, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.Mix(spark, mixing.named(docs, targets, "doc_id", "source"), targets, "doc_id")
+    assert {r.source: (r.used_tokens, r.short) for r in mix.shares().collect()} == {"a": (0, False), "b": (0, False), "c": (0, True), "d": (250, True), "": (0, True)}
+
+
 def test_too_many_sources_are_an_error(spark, monkeypatch):
     import pytest
 
