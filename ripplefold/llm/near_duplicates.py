@@ -11,7 +11,7 @@ Every row is sketched where it is read, so tokens never move. Equal sequences, t
 with one representative (their smallest id), so copies meet once, not in pairs.
 A band shared by a crowd of different sequences is paired block against block, so no pair of it is lost.
 
-Sequences shorter than ``least_tokens`` or null take no part. A null token counts as a token of its own.
+Sequences shorter than ``least_tokens`` or null take no part, nor do rows without a key. A null token counts as a token of its own.
 Repeated rows count once.
 """
 
@@ -158,7 +158,7 @@ def _estimator(least: float):
 
 def sketches(df: DataFrame, key: str, tokens: str, least_tokens: int, width: int = 5, tables: int = TABLES) -> DataFrame:
     """(id, h1, h2, runs, regs, bands, row) of every usable row, written; ``row`` tells repeated rows apart."""
-    rows = df.where(F.size(tokens) >= least_tokens).select(F.col(key).alias("id"), F.col(tokens).cast("array<string>").alias("tokens"))
+    rows = df.where((F.size(tokens) >= least_tokens) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(tokens).cast("array<string>").alias("tokens"))
     kind = rows.schema["id"].dataType.simpleString()
     made = rows.mapInArrow(_sketcher(width, tables), f"id {kind}, h1 bigint, h2 bigint, runs array<bigint>, regs binary, bands array<bigint>")
     return cut(made.withColumn("row", F.monotonically_increasing_id())).df

@@ -130,7 +130,7 @@ def test_copies_are_one_class_and_nothing_is_empty(spark):
 def test_repeated_rows_and_hot_copies_stay_one_class(spark):
     body = [f"t{i}" for i in range(60)]
     rows = [(1, body), (2, body[:30] + ["x"] + body[30:]), (3, body), (4, ["short"] * 4)] * 50 + [(5, None), (6, []), (None, body)]
-    df = spark.createDataFrame([(u, t, "k") for u, t in rows], "unit_no long, tokens array<string>, id string").where("unit_no is not null")
+    df = spark.createDataFrame([(u, t, "k") for u, t in rows], "unit_no long, tokens array<string>, id string")
     assert sorted(tuple(r) for r in near_duplicates.pairs(df, "unit_no", "tokens", 0.5, 40).collect()) == [(1, 2), (1, 3), (2, 3)]
     links = near_duplicates.class_links(df, "unit_no", "tokens", 0.5, 0)
     assert {(r.unit_no, r.class_id, r.copies, r.links) for r in links.collect()} == {(1, 1, 2, 1), (3, 1, 2, 1), (2, 2, 1, 1), (4, 4, 1, 0), (6, 6, 1, 0)}
