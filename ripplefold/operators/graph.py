@@ -123,9 +123,9 @@ def _coloured(edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFram
         stable = False
         while not stable and used < most:
             used += 1
-            sent = left.df.join(colours.df.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("d"))
-            spread = colours.df.join(sent, "id", "left").select("id", F.greatest("c", F.coalesce("d", "c")).alias("c"), (F.coalesce(F.col("d") > F.col("c"), F.lit(False))).cast("int").alias("moved"))
-            after = cut(spread, F.sum("moved").alias("moved"))
+            sent = left.df.join(colours.df.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c", F.lit(None).alias("own"))
+            both = sent.unionByName(colours.df.select("id", "c", F.col("c").alias("own"))).groupBy("id").agg(F.max("c").alias("c"), F.max("own").alias("own"))
+            after = cut(both.select("id", "c", (F.col("c") > F.col("own")).cast("int").alias("moved")), F.sum("moved").alias("moved"))
             colours.drop()
             colours = after
             stable = not colours.metrics["moved"]
