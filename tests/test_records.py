@@ -215,6 +215,20 @@ def test_large_families_and_copies_meet(spark):
     assert len(got) == len(set(got)) and set(got) == truth
 
 
+def test_unlike_units_that_share_a_shingle_are_not_paired(spark):
+    body = lambda i: [f"s{i % 6}_{j}" for j in range(8)] + [f"u{i}_{j}" for j in range(30)] + [f"c{j}" for j in range(22)]
+    rows = {i: body(i) for i in range(120)} | {500 + i: body(i)[:-3] + ["e"] * 3 for i in range(0, 120, 10)}
+    units = spark.createDataFrame(list(rows.items()), "unit int, tokens array<string>")
+    prints = similarity.fingerprints(units)
+    loose = similarity.candidate_pairs(units).cache()
+    truth = {(r.a, r.b) for r in similarity.cosines(prints, loose).where(F.col("similarity") >= similarity.THRESHOLD).collect()}
+    assert truth == {(i, 500 + i) for i in range(0, 120, 10)} and loose.count() > 1_000
+    for more in ({}, {"crowd": 3}, {"part_grams": 50}):
+        near = [(r.a, r.b) for r in similarity.near_pairs(units, prints, **more).collect()]
+        assert len(near) == len(set(near)) < 100 and truth <= set(near)
+    assert similarity.near_pairs(units.limit(0), prints).count() == 0
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "r", "f", "s", 1, "e", "2025-01-01"), (2, "r", "f", "s", 1, "e", "2025-01-02"), (3, "q", "f", "s", 1, "e", None)], "fp_id int, repo string, file string, symbol string, start_line int, embedder string, updated_at string")
     root = str(tmp_path / "snap")
