@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplefold.durable import cut
 from ripplefold.functions.text import round_half_up
+from ripplefold.operators import meetings
 from ripplefold.operators.blocks import in_blocks, met
 
 #: Tokens to a shingle, fingerprint width, similarity, hits per unit, hits in all, least tokens.
@@ -24,11 +22,9 @@ LEAST_TOKENS = 40
 #: Cosine of shingle counts below which a pair cannot reach the threshold, and members of a block of a common shingle.
 LEAST_SHARED = 0.5
 CROWD = 2000
-#: Shingles of all units to a part of pairing and parts at least; pairs judged at once, and kept before repeated ones leave.
-PART_GRAMS = 3_000_000
-LEAST_PARTS = 12
-CHUNK = 65_536
-MOST_WAITING = 4_000_000
+#: Cells to a part of pairing and parts at least.
+PART_CELLS = 2_000_000
+LEAST_PARTS = 6
 
 
 def shingles(tokens: Column, k: int = SHINGLE) -> Column:
@@ -58,11 +54,10 @@ def norms(prints: DataFrame) -> DataFrame:
     return prints.groupBy("unit").agg(F.sum(F.col("w") * F.col("w")).alias("ss"))
 
 
-def classes(units: DataFrame, key: str = "unit", tokens: str = "tokens") -> DataFrame:
-    """(unit, head): the smallest unit of the same tokens, told by 128 bits of hash."""
+def _marks(tokens: Column) -> tuple[Column, Column]:
+    """128 bits of hash that tell a token list."""
     spelled = F.concat_ws("\x01", F.transform(tokens, lambda t: F.coalesce(t, F.lit("\x00"))))
-    marked = units.select(F.col(key).alias("unit"), F.xxhash64(tokens).alias("h1"), F.xxhash64(spelled, F.size(tokens)).alias("h2"))
-    return marked.join(marked.groupBy("h1", "h2").agg(F.min("unit").alias("head")), ["h1", "h2"]).select("unit", "head").distinct()
+    return F.xxhash64(tokens).alias("h1"), F.xxhash64(spelled, F.size(tokens)).alias("h2")
 
 
 def candidate_pairs(units: DataFrame, key: str = "unit", tokens: str = "tokens", crowd: int = CROWD) -> DataFrame:
@@ -73,87 +68,49 @@ def candidate_pairs(units: DataFrame, key: str = "unit", tokens: str = "tokens",
     prefixes, however common it is. The fingerprint's cosine differs from that of the counts by collisions of
     buckets, with a deviation of at most 0.05 at 0.5, so 0.85 is seven deviations away.
     """
-    return met(_prefix_cells(units.select(F.col(key).alias("unit"), F.col(tokens).alias("tokens")), crowd), "unit").distinct()
-
+    grams = units.select(F.col(key).alias("unit"), F.explode(shingles(F.col(tokens))).alias("gram")).select("unit", F.xxhash64("gram").alias("g"))
+    counted = grams.groupBy("unit", "g").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("mass"))
+    held = counted.join(counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    whole = W.partitionBy("unit")
+    rest = whole.orderBy(F.desc("n"), F.desc("g")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    prefix = held.withColumn("rest", F.sum("mass").over(rest)).withColumn("all", F.sum("mass").over(whole)).where((F.col("rest") > LEAST_SHARED**2 * F.col("all")) & (F.col("n") > 1))
+    return met(in_blocks(prefix.select("unit", "g", "n"), F.col("g"), "unit", F.ceil(F.col("n") / crowd)), "unit").distinct()
 
-def _prefix_cells(units: DataFrame, crowd: int) -> DataFrame:
-    """(unit, cell, side): the prefixes of ``candidate_pairs``; rows of a unit stay in one partition."""
-    grams = units.repartition("unit").select("unit", F.explode(shingles(F.col("tokens"))).alias("gram")).select("unit", F.xxhash64("gram").alias("g"))
-    counted = grams.groupBy("unit", "g").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("mass")).withColumn("all", F.sum("mass").over(W.partitionBy("unit")))
-    held = counted.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g"))).where("n > 1")
-    rest = W.partitionBy("unit").orderBy(F.desc("n"), F.desc("g")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefix = held.withColumn("rest", F.sum("mass").over(rest)).where(F.col("rest") > LEAST_SHARED**2 * F.col("all"))
-    return in_blocks(prefix.select("unit", "g", "n"), F.col("g"), "unit", F.ceil(F.col("n") / crowd)).select("unit", "cell", "side")
 
+def prepared(units: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(unit, cells, sides, w) of ``units(unit, tokens)``: the cells of each unit's prefix and its fingerprint.
 
-def near_pairs(units: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, part_grams: int = PART_GRAMS) -> DataFrame:
-    """(a, b), a < b: the ``candidate_pairs`` of ``units(unit, tokens)`` whose fingerprints may reach ``threshold``.
-
-    Cells are dealt to parts and a unit goes to a part once, with the signs of its fingerprint as bits, so a pair
-    is judged where it meets and few of them are ever moved. No pair that reaches ``threshold`` is left out.
+    Prefixes are those of ``candidate_pairs``, but for the order of shingles: by how often a slot of a fixed number of
+    them is met, then by hash. Any order that is the same in all units loses no pair. A unit is worked on where it is read.
     """
-    total = units.agg(F.sum(F.size("tokens").cast("long")).alias("n")).first()["n"] or 0
-    parts = max(LEAST_PARTS, -(-total // part_grams))
-    cells = _prefix_cells(units, crowd).withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
-    dealt = cells.groupBy("unit", "part").agg(F.collect_list(F.struct("cell", "side")).alias("c"))
-    signs = [F.coalesce(F.bit_or(F.when((F.col("bucket").between(64 * k, 64 * k + 63)) & (F.col("w") * sign > 0), F.expr("shiftleft(1L, cast(bucket % 64 as int))"))), F.lit(0)) for sign in (1, -1) for k in range(WIDTH // 64)]
-    sketches = prints.groupBy("unit").agg(F.array(*signs).alias("signs"), F.sum(F.col("w") * F.col("w")).cast("long").alias("ss"), F.count(F.lit(1)).alias("nnz"))
-    rows = dealt.join(sketches, "unit").select("unit", "part", F.col("c.cell").alias("cells"), F.col("c.side").alias("sides"), "signs", "ss", "nnz")
     kind = units.schema["unit"].dataType.simpleString()
-    return rows.repartitionById(parts, F.col("part")).drop("part").mapInArrow(_meetings(threshold), f"a {kind}, b {kind}").distinct()
+    counts = units.select("tokens").mapInArrow(meetings.counter(SHINGLE), "block int, counts binary")
+    table = np.zeros(1 << meetings.SLOT_BITS, np.uint8)
+    for row in counts.repartition("block").mapInArrow(meetings.summed, "block int, codes binary").toLocalIterator():
+        table[row["block"] * meetings.BLOCK : (row["block"] + 1) * meetings.BLOCK] = np.frombuffer(row["codes"], np.uint8)
+    held = units.sparkSession.sparkContext.broadcast(table)
+    run = meetings.preparer(lambda: held.value, SHINGLE, WIDTH, LEAST_SHARED, crowd)
+    return units.select("unit", F.xxhash64("unit").alias("u"), "tokens").mapInArrow(run, f"unit {kind}, cells array<bigint>, sides array<tinyint>, w binary")
 
 
-def _meetings(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of one part that share a cell and can reach ``threshold``.
+def near_pairs(ready: DataFrame, total: int, threshold: float = THRESHOLD, part_cells: int = PART_CELLS) -> DataFrame:
+    """(a, b), a < b: the pairs of ``prepared`` units that meet and whose fingerprints may reach ``threshold``.
 
-    Buckets of equal sign are all that adds to a product, and every other bucket that is not zero takes 1 at least from
-    the square of its side; a bucket of opposite signs takes 1 at least from the product. That bounds the cosine from above.
+    The ``total`` cells are dealt to parts and a unit goes to a part once, with the signs of its fingerprint as bits, so a
+    pair is judged where it meets and few of them are ever moved. No pair that reaches ``threshold`` is left out.
     """
+    parts = max(LEAST_PARTS, -(-total // part_cells))
+    kind = ready.schema["unit"].dataType.simpleString()
+    dealt = ready.mapInArrow(meetings.dealer(parts, WIDTH), f"unit {kind}, part int, cells array<int>, sides array<tinyint>, signs binary, ss bigint, nnz bigint")
+    return dealt.repartitionById(parts, F.col("part")).drop("part").mapInArrow(meetings.judge(threshold), f"a {kind}, b {kind}").distinct()
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = [x for x in batches if x.num_rows]
-        if not taken:
-            return
-        table = pa.Table.from_batches(taken).sort_by("unit").combine_chunks()
-        cells, sides = (table.column(c).combine_chunks() for c in ("cells", "sides"))
-        held = np.diff(cells.offsets.to_numpy())
-        unit = np.repeat(np.arange(table.num_rows, dtype=np.int32), held)
-        cell, side = cells.flatten().to_numpy(), sides.flatten().to_numpy()
-        order = np.argsort(cell, kind="stable")
-        cell, side, unit = cell[order], side[order], unit[order]
-        last = np.append(np.flatnonzero(cell[1:] != cell[:-1]), len(cell) - 1)
-        end = np.repeat(last, np.diff(last, prepend=-1))
-        signs = table.column("signs").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        plus, minus = signs[:, : WIDTH // 64], signs[:, WIDTH // 64 :]
-        ss, nnz = (table.column(c).to_numpy() for c in ("ss", "nnz"))
-        free, length = (ss - nnz).astype(np.float64), np.sqrt(ss.astype(np.float64))
-        known = np.empty(0, dtype=np.int64)
-        pending: list[np.ndarray] = []
-        waiting, step = 0, 0
-        at = np.arange(len(cell))
-        while True:
-            step += 1
-            at = at[at + step <= end[at]]
-            if not len(at):
-                break
-            for some in np.array_split(at, -(-len(at) // CHUNK)):
-                apart = (side[some] < 0) | (side[some] != side[some + step])
-                a, b = unit[some[apart]], unit[some[apart] + step]
-                plus_a, minus_a, plus_b, minus_b = plus[a], minus[a], plus[b], minus[b]
-                same = np.bitwise_count(plus_a & plus_b).sum(1, dtype=np.int32) + np.bitwise_count(minus_a & minus_b).sum(1, dtype=np.int32)
-                against = np.bitwise_count(plus_a & minus_b).sum(1, dtype=np.int32) + np.bitwise_count(minus_a & plus_b).sum(1, dtype=np.int32)
-                kept = np.sqrt((free[a] + same) * (free[b] + same)) - against >= threshold * (1 - 1e-9) * length[a] * length[b]
-                pending.append(a[kept].astype(np.int64) * table.num_rows + b[kept])
-                waiting += len(pending[-1])
-                if waiting > MOST_WAITING:
-                    known, pending, waiting = np.unique(np.concatenate([known, *pending])), [], 0
-        known = np.unique(np.concatenate([known, *pending]))
-        names = table.column("unit").combine_chunks()
-        for start in range(0, len(known), CHUNK):
-            a, b = np.divmod(known[start : start + CHUNK], table.num_rows)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
-
-    return run
+def measured(ready: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs of ``prepared`` units, as ``cosines`` gives it."""
+    kind = ready.schema["unit"].dataType.simpleString()
+    left, right = (ready.select(F.col("unit").alias(n), F.col("w").alias(f"w{n}")) for n in ("a", "b"))
+    dots = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(meetings.products(WIDTH), f"a {kind}, b {kind}, dot bigint, saa bigint, sbb bigint")
+    return dots.select("a", "b", (F.col("dot") / F.sqrt((F.col("saa") * F.col("sbb")).cast("double"))).alias("similarity"))
 
 
 def cosines(prints: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -168,15 +125,18 @@ def cosines(prints: DataFrame, pairs: DataFrame) -> DataFrame:
 def rated(units: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """(a, b, similarity), a < b: every pair of ``units(unit, tokens)`` of a similarity of ``threshold`` or more.
 
-    Units of equal tokens are compared once, as one class, and expanded afterwards.
+    Units of equal tokens are compared once, as one class, and expanded afterwards; so are repeated rows of a unit.
     """
-    members = cut(classes(units)).df
-    copied = cut(members.where("unit <> head").select("unit")).df
-    heads = units.select("unit", "tokens").join(copied, "unit", "left_anti")
-    prints = cut(fingerprints(heads)).df
-    near = cosines(prints, near_pairs(heads, prints, threshold, crowd)).where(F.col("similarity") >= threshold).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "similarity")
+    rows = cut(units.select("unit", "tokens").withColumn("_row", F.monotonically_increasing_id())).df
+    marked = rows.select("unit", "_row", *_marks(F.col("tokens")))
+    least = marked.groupBy("h1", "h2").agg(F.min(F.struct("unit", "_row")).alias("m"))
+    placed = cut(marked.join(least, ["h1", "h2"]).select("unit", "_row", F.col("m.unit").alias("head"), (F.col("_row") != F.col("m._row")).alias("spare"))).df
+    members = placed.select("unit", "head").distinct()
+    heads = rows.join(cut(placed.where("spare").select("_row")).df, "_row", "left_anti").select("unit", "tokens")
+    ready = cut(prepared(heads, crowd), F.sum(F.size("cells").cast("long")).alias("cells"))
+    near = measured(ready.df, near_pairs(ready.df, ready.metrics["cells"] or 0, threshold)).where(F.col("similarity") >= threshold).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "similarity")
     across = near.join(members.toDF("x", "ha"), "ha").join(members.toDF("y", "hb"), "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    copies = members.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(norms(prints).select(F.col("unit").alias("head")), "head", "left_semi")
+    copies = members.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(ready.df.select(F.col("unit").alias("head")), "head", "left_semi")
     equal = met(in_blocks(members.join(copies, "head"), F.col("head"), "unit", F.ceil(F.col("n") / crowd)), "unit")
     return across.unionByName(equal.withColumn("similarity", F.lit(1.0)))
 

@@ -204,7 +204,7 @@ def h4_norms(spark, d):
 
 
 def _rated(spark, d):
-    units = cut(_long_units(spark, d)).df
+    units = table(spark, d, "function_units").where(F.size("tokens") >= similarity.LEAST_TOKENS).select(F.col("unit_no").alias("unit"), "tokens")
     return cut(similarity.rated(units)).df
 
 

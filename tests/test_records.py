@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,10 +224,22 @@ def test_unlike_units_that_share_a_shingle_are_not_paired(spark):
     loose = similarity.candidate_pairs(units).cache()
     truth = {(r.a, r.b) for r in similarity.cosines(prints, loose).where(F.col("similarity") >= similarity.THRESHOLD).collect()}
     assert truth == {(i, 500 + i) for i in range(0, 120, 10)} and loose.count() > 1_000
-    for more in ({}, {"crowd": 3}, {"part_grams": 50}):
-        near = [(r.a, r.b) for r in similarity.near_pairs(units, prints, **more).collect()]
+    for crowd, cells in ((2000, 50), (2000, 10**6), (3, 10**6)):
+        ready = similarity.prepared(units, crowd).cache()
+        near = [(r.a, r.b) for r in similarity.near_pairs(ready, 5000, part_cells=cells).collect()]
         assert len(near) == len(set(near)) < 100 and truth <= set(near)
-    assert similarity.near_pairs(units.limit(0), prints).count() == 0
+        assert {(r.a, r.b) for r in similarity.measured(ready, loose).where(F.col("similarity") >= similarity.THRESHOLD).collect()} == truth
+    assert similarity.rated(units.limit(0)).count() == 0
+
+
+def test_prepared_fingerprints_equal_those_of_shingles(spark):
+    rows = [(1, ["a b", "c", None, "d", "", "e", "f"] * 9), (2, ["a", "b c", None, "d", "", "e", "f"] * 9), (3, [None] * 6), (4, ["x"] * 4), (5, []), (6, None), (7, ["é", "ü"] * 30)]
+    units = spark.createDataFrame(rows, "unit int, tokens array<string>")
+    ready = {r.unit: {i: int(x) for i, x in enumerate(np.frombuffer(r.w, np.int32)) if x} for r in similarity.prepared(units).collect()}
+    truth = {}
+    for r in similarity.fingerprints(units).collect():
+        truth.setdefault(r.unit, {})[r.bucket] = r.w
+    assert ready == truth and set(truth) == {1, 2, 3, 7}
 
 
 def test_sinks(spark, tmp_path):
