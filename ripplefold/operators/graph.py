@@ -100,6 +100,21 @@ def strong_components(edges: DataFrame, rounds: int = ROUNDS, small: int = SMALL
     return cyclic.unionByName(done.join(cyclic.select("id"), "id", "left_anti"))
 
 
+def nested_components(part: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strong components (id, component) of ``part`` and of ``edges``, which holds all its edges.
+
+    What is a component of the part stays together in the whole, so the whole is done with each of them as one vertex,
+    named by its smallest member; only edges between them and outside remain.
+    """
+    was = cut(strong_components(part)).df
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    a, b = was.toDF("src", "ca"), was.toDF("dst", "cb")
+    left = ends.join(a, "src", "left").join(b, "dst", "left").where("ca is null or cb is null or ca <> cb")
+    upper = cut(strong_components(left.select(F.coalesce("ca", "src").alias("src"), F.coalesce("cb", "dst").alias("dst")))).df
+    merged = was.join(upper.toDF("component", "above"), "component", "left").select("id", F.coalesce("above", "component").alias("component"))
+    return was, merged.unionByName(upper.join(was.select("id"), "id", "left_anti"))
+
+
 def _coloured(edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame | None]:
     """((id, c) of the components found, the edges left when the rounds were used, if any)."""
     most = float("inf") if rounds is None else rounds

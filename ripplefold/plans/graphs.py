@@ -29,7 +29,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst, specifier, first_seen, ord): each edge once."""
+    """(src, dst, specifier, first_seen, ord, dst_no): each edge once; ord and dst_no are the part keys of its ends."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     steps = lines.withColumn("next", F.lead("l_partkey").over(order)).where(F.col("next").isNotNull())
@@ -37,7 +37,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     once = steps.groupBy("l_partkey", "next").agg(F.min(spec).alias("specifier"), F.min("l_shipdate").alias("first_seen"))
     named = nodes(spark, d)
     a, b = named.toDF("l_partkey", "src"), named.toDF("next", "dst")
-    return once.join(a, "l_partkey").join(b, "next").select("src", "dst", "specifier", "first_seen", F.col("l_partkey").alias("ord"))
+    return once.join(a, "l_partkey").join(b, "next").select("src", "dst", "specifier", "first_seen", F.col("l_partkey").alias("ord"), F.col("next").alias("dst_no"))
 
 
 CHANGED_SINCE = "2001-11-01"
@@ -76,14 +76,20 @@ def d6_introduced_edges(spark, d):
 
 
 def d5_violations(spark, d):
-    e = cut(edges(spark, d)).df
+    return _violations_of(cut(edges(spark, d)).df)
+
+
+def _violations_of(e: DataFrame) -> DataFrame:
     broken = graph.violations(e, RULES)
-    return graph.introduced(broken, e.where(BASE).select(F.col("src").alias("from_module"), F.col("dst").alias("to_module")), ["from_module", "to_module"])
+    before = graph.violations(e.where(BASE), RULES).select("from_module", "to_module")
+    return graph.introduced(broken, before, ["from_module", "to_module"])
 
 
 def d8_instability_deltas(spark, d):
-    e = cut(edges(spark, d)).df
-    n = nodes(spark, d)
+    return _deltas_of(nodes(spark, d), cut(edges(spark, d)).df)
+
+
+def _deltas_of(n: DataFrame, e: DataFrame) -> DataFrame:
     after = graph.coupling(n, e)
     old = e.where(BASE)
     before = graph.coupling(old.select(F.explode(F.array("src", "dst")).alias("id")), old)
@@ -196,24 +202,35 @@ def d10_via_names(spark, d):
     return blast.with_names(_sites(spark, d), names).select("symbol_id", "via", "via_name")
 
 
-def evidence_items(spark, d, cycles: DataFrame) -> DataFrame:
+def evidence_items(n: DataFrame, e: DataFrame, cycles: DataFrame) -> DataFrame:
     """(built, kind, module, summary, weight, change) of violations, instability and ``cycles(component, id, weight)``."""
-    v = d5_violations(spark, d).select(F.lit(1).alias("built"), F.lit("layer-violation").alias("kind"), F.col("from_module").alias("module"), F.concat_ws(" ", "rule", edge_key(F.col("from_module"), F.col("to_module"))).alias("summary"), evidence.violation_weight(F.col("introduced")).alias("weight"))
+    v = _violations_of(e).select(F.lit(1).alias("built"), F.lit("layer-violation").alias("kind"), F.col("from_module").alias("module"), F.concat_ws(" ", "rule", edge_key(F.col("from_module"), F.col("to_module"))).alias("summary"), evidence.violation_weight(F.col("introduced")).alias("weight"))
     c = cycles.select(F.lit(0).alias("built"), F.lit("cycle").alias("kind"), F.col("component").alias("module"), F.col("id").alias("summary"), "weight")
-    i = d8_instability_deltas(spark, d).select(F.lit(3).alias("built"), F.lit("instability").alias("kind"), "module", evidence.instability_summary(F.col("module"), F.col("before"), F.col("after")).alias("summary"), F.lit(evidence.WEIGHTS["instability"]).alias("weight"))
+    i = _deltas_of(n, e).select(F.lit(3).alias("built"), F.lit("instability").alias("kind"), "module", evidence.instability_summary(F.col("module"), F.col("before"), F.col("after")).alias("summary"), F.lit(evidence.WEIGHTS["instability"]).alias("weight"))
     return v.unionByName(c).unionByName(i).withColumn("change", F.substring_index("module", "/", 1))
 
 
-def weighted_cycles(e: DataFrame) -> DataFrame:
-    """(component, id, weight) of vertices on cycles; cycles that the base revision did not have weigh as introduced."""
-    now, was = (cut(graph.strong_components(x)).df for x in (e, e.where(BASE)))
+def weighted_cycles(e: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(component, id, weight) of vertices on cycles; cycles that the base revision did not have weigh as introduced.
+
+    With ``names(no, id)`` cycles are looked for by the numbers of the edges' ends (ord, dst_no) and named at the end.
+    """
+    links = e if names is None else cut(e.select(F.col("ord").alias("src"), F.col("dst_no").alias("dst"), "first_seen")).df
+    was, now = graph.nested_components(links.where(BASE), links)
+    now = cut(now).df
     flags = graph.introduced_cycles(now, was).select("component", evidence.cycle_weight(F.col("introduced")).alias("weight"))
-    return now.join(flags, "component").select("component", "id", "weight")
+    found = now.join(flags, "component").select("component", "id", "weight")
+    if names is None:
+        return found
+    named = found.join(names.distinct().toDF("id", "name"), "id")
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    return named.join(least, "component").select(F.col("least").alias("component"), F.col("name").alias("id"), "weight")
 
 
 def c10_evidence(spark, d):
     """Violations, cycles and instability as one list of evidence with weights, numbered together per change brand."""
-    items = evidence_items(spark, d, weighted_cycles(cut(edges(spark, d)).df)).withColumn("seq", F.struct("built", "module", "summary"))
+    e, n = cut(edges(spark, d)).df, nodes(spark, d)
+    items = evidence_items(n, e, weighted_cycles(e, n)).withColumn("seq", F.struct("built", "module", "summary"))
     return evidence.ordinals(items, ["change"], spread=True).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"), F.col("ordinal").cast("int").alias("ordinal"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ripplefold.durable import cut, application_folder
 from ripplefold.functions import code, sequential, text
-from ripplefold.operators import blast, evidence, graph, jobs, vectors
+from ripplefold.operators import blast, evidence, jobs, vectors
 from ripplefold.plans import graphs, inputs_and_units, records
 from ripplefold.sources import inputs, sinks
 from ripplefold.sources.tables import table, unique
@@ -108,11 +108,11 @@ def j9_impact_evidence(spark, d):
 
     Units belong to no brand, so the duplicates, ten at most, are evidence of every brand's list.
     """
-    e = cut(graphs.edges(spark, d)).df
+    e, n = cut(graphs.edges(spark, d)).df, graphs.nodes(spark, d)
     sites, _ = blast.blast_radius(e, graphs._changed(e), 3, None)
-    sites = blast.with_fan_in(sites, graph.coupling(graphs.nodes(spark, d), e))
+    sites = blast.with_fan_in(sites, e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("fan_in")))
     site_items = sites.select(F.substring_index("origin", "/", 1).alias("change"), F.lit("impacted-site").alias("kind"), F.concat_ws(" ", "symbol_id", F.lit("via"), "via").alias("summary"), evidence.site_weight(F.col("hops"), F.col("module_fan_in")).cast("int").alias("weight"))
-    other = graphs.evidence_items(spark, d, graphs.weighted_cycles(e)).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"))
+    other = graphs.evidence_items(n, e, graphs.weighted_cycles(e, n)).select("change", "kind", "summary", F.col("weight").cast("int").alias("weight"))
     of_brands = cut(site_items.unionByName(other)).df
     duplicates = duplicate_items(inputs_and_units.ranked_matches(spark, d)).collect()  # IN_ALL rows at most
     told = F.array(*(F.struct(*(F.lit(row[c]).alias(c) for c in ("kind", "summary", "weight"))) for row in duplicates))

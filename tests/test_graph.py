@@ -84,6 +84,28 @@ def test_random_components_match_reachability(spark):
     assert components(spark, pairs, rounds=2) == truth
 
 
+def test_nested_components_equal_separate_ones(spark):
+    rng = random.Random(11)
+    for k in (20, 34, 60):
+        pairs = list({(f"v{rng.randrange(30):02d}", f"v{rng.randrange(30):02d}") for _ in range(k)}) + [("z", "z")]
+        part = pairs[: k // 2]
+        was, now = graph.nested_components(edge_frame(spark, part), edge_frame(spark, pairs))
+        assert {r.id: r.component for r in was.collect()} == components(spark, part)
+        rows = now.collect()
+        assert len(rows) == len({r.id for r in rows}) and {r.id: r.component for r in rows} == components(spark, pairs)
+
+
+def test_cycles_by_number_equal_cycles_by_name(spark):
+    rng = random.Random(5)
+    name = lambda i: f"b{(i * 7) % 10}/t/{i}"
+    pairs = {(rng.randrange(25), rng.randrange(25)) for _ in range(40)}
+    rows = [(name(a), name(b), a, b, "1999-01-01" if rng.random() < 0.7 else "2001-11-02") for a, b in pairs]
+    e = spark.createDataFrame(rows, "src string, dst string, ord long, dst_no long, seen string").withColumn("first_seen", F.col("seen").cast("timestamp"))
+    names = spark.createDataFrame([(i, name(i)) for i in range(25)], "no long, id string")
+    by_name, by_number = (sorted(map(tuple, graphs.weighted_cycles(e, *more).collect())) for more in ((), (names,)))
+    assert by_name == by_number and len({w for *_, w in by_name}) == 2
+
+
 def test_coupling_counts_and_zeroes(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("lone",)], "id string")
     rows = {r.id: (r.fan_in, r.fan_out, r.instability) for r in graph.coupling(nodes, edge_frame(spark, [("a", "b"), ("a", "gone")])).collect()}
